@@ -1,0 +1 @@
+"""Reserved: every operator of this library reads finished tables, none reads a stream."""
