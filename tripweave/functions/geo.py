@@ -20,7 +20,9 @@ def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colum
     chord = F.pow(F.sin(half_lat), F.lit(2e0)) + (
         F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(half_lng), F.lit(2e0))
     )
-    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.least(F.lit(1e0), chord)))
+    # Not least(): it would skip a NULL chord.
+    chord = F.when(chord > 1e0, F.lit(1e0)).otherwise(chord)
+    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(chord))
 
 
 def line(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:
@@ -44,7 +46,11 @@ def box(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
 
 
 def edges(rings: Column) -> Column:
-    """All edges of all rings; rings that do not close are closed, repeated points skipped."""
+    """All edges of all rings as ``struct<x1,y1,x2,y2,first>``.
+
+    Rings that do not close are closed and repeated points skipped, except that each ring keeps
+    one edge marked ``first``: its start is a point of the ring.
+    """
 
     def ring_edges(ring: Column) -> Column:
         def to_next(point: Column, i: Column) -> Column:
@@ -52,27 +58,17 @@ def edges(rings: Column) -> Column:
             return F.struct(
                 F.get(point, F.lit(0)).alias("x1"), F.get(point, F.lit(1)).alias("y1"),
                 F.get(following, F.lit(0)).alias("x2"), F.get(following, F.lit(1)).alias("y2"),
+                (i == 0).alias("first"),
             )
 
         return F.filter(
-            F.transform(ring, to_next), lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"])
+            F.transform(ring, to_next),
+            lambda e: e["first"] | (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]),
         )
 
     return F.flatten(F.transform(rings, ring_edges))
 
 
-def anchors(rings: Column) -> Column:
-    """One point of every ring, as ``struct<x,y>``."""
-    first = F.transform(
-        F.filter(rings, lambda ring: F.size(ring) > 0),
-        lambda ring: F.struct(
-            F.get(F.get(ring, F.lit(0)), F.lit(0)).alias("x"),
-            F.get(F.get(ring, F.lit(0)), F.lit(1)).alias("y"),
-        ),
-    )
-    return first
-
-
 def side(e: Column, x: Column, y: Column) -> Column:
     """Positive where the point is left of the edge, negative right, zero on its line."""
     return (e["x2"] - e["x1"]) * (y - e["y1"]) - (x - e["x1"]) * (e["y2"] - e["y1"])
@@ -158,6 +154,6 @@ def polygons_intersect(a: Column, b: Column) -> Column:
     ea, eb = edges(a), edges(b)
     return (
         edge_lists_meet(ea, eb)
-        | F.exists(anchors(a), lambda p: in_edges(eb, p["x"], p["y"]))
-        | F.exists(anchors(b), lambda p: in_edges(ea, p["x"], p["y"]))
+        | F.exists(ea, lambda e: e["first"] & in_edges(eb, e["x1"], e["y1"]))
+        | F.exists(eb, lambda e: e["first"] & in_edges(ea, e["x1"], e["y1"]))
     )

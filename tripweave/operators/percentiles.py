@@ -22,11 +22,14 @@ def exact_percentiles(
     result. Between two ranks the value is interpolated linearly.
     """
     keys = list(keys)
+    # The bucket is never NULL, so the join below adds no filter to one of its two uses and
+    # both share one shuffle.
+    bucket = F.coalesce(F.floor(F.col("_v") / F.lit(float(width))).cast("long"), F.lit(0))
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_b", F.floor(F.col("_v") / F.lit(float(width))).cast("long"))
+        .withColumn("_b", bucket)
     )
     buckets = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
     upward = Window.partitionBy(*keys).orderBy("_b")

@@ -24,7 +24,10 @@ def explode_tags(df: DataFrame, tags: str = "source_tags") -> DataFrame:
 
 
 def hgv_parkings(
-    infrastructure: DataFrame, countries: DataFrame, cell_degrees: float = CELL_DEGREES
+    infrastructure: DataFrame,
+    countries: DataFrame,
+    cell_degrees: float = CELL_DEGREES,
+    grid: DataFrame | None = None,
 ) -> DataFrame:
     """Truck parking areas, one row per parking, country it meets and matching tag."""
     areas = infrastructure.filter(
@@ -41,7 +44,8 @@ def hgv_parkings(
         areas.select("id", "geometry", matching.alias("_tags")).filter(F.size("_tags") > 0)
     )
     joined = join_polygons(
-        trucks, countries.select("id", "geometry", "english_name"), cell_degrees=cell_degrees
+        trucks, countries.select("id", "geometry", "english_name"),
+        cell_degrees=cell_degrees, left_method="row", right_grid=grid,
     )
     return joined.withColumn("_tag", F.explode("_tags")).select("id", "english_name", "geometry")
 
@@ -51,6 +55,7 @@ def retail_stores(
     countries: DataFrame,
     country_name: str = "Germany",
     cell_degrees: float = CELL_DEGREES,
+    grid: DataFrame | None = None,
 ) -> DataFrame:
     """Stores of known brands in the named country."""
     stores = places.withColumns({
@@ -61,6 +66,7 @@ def retail_stores(
         F.col("canonical_name").isNotNull() & F.col("category").isin(RETAIL_CATEGORIES)
     )
     area = countries.filter(F.col("english_name") == country_name).select("id", "geometry")
-    return join_intersects(stores, area, "inner", cell_degrees=cell_degrees).select(
+    found = join_intersects(stores, area, "inner", cell_degrees=cell_degrees, grid=grid)
+    return found.select(
         "id", "store_name", "category", "lng", "lat", "addresses", "canonical_name"
     )

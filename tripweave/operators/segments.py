@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -31,34 +31,35 @@ _FIELDS = ["lat", "lng", "speed", "time_lag"]
 def _keyed_segments(points: DataFrame, tie: Sequence[str], seconds: int) -> DataFrame:
     """Each point but a trip's last with its successor's fields as ``_n_<field>``.
 
-    Partitioned by slice key. ``_total_lag`` is that of the trip, ``_rn`` numbers the segments.
+    Partitioned by slice key; ``_row`` numbers the points of a slice.
     """
     keyed = with_slice_key(points, seconds).select(
         *SLICE, "event_timestamp", *tie, *[c for c in _FIELDS if c not in tie]
     )
-    slices = edge_rows(
-        keyed, "first", tie, _FIELDS,
-        F.count(F.lit(1)).alias("_points"), F.sum("time_lag").alias("_lag"),
-    )
-    slices = slices.select(
-        *SLICE,
-        F.lead("edge").over(trip_window()).alias("_after"),
-        (F.sum("_points").over(trip_window()) - F.col("_points")).alias("_offset"),
-        F.sum("_lag").over(Window.partitionBy(*TRIP)).alias("_total_lag"),
-    )
+    first = edge_rows(keyed, "first", tie, _FIELDS)
+    after = first.select(*SLICE, F.lead("edge").over(trip_window()).alias("_after"))
     inside = neighbour_columns(keyed, F.lead, tie, _FIELDS).withColumn(
-        "_in_slice", F.row_number().over(slice_window(tie))
+        "_row", F.row_number().over(slice_window(tie))
     )
-    joined = inside.join(slices, list(SLICE), "left").filter(
+    joined = inside.join(after, list(SLICE), "left").filter(
         F.col("_n_row").isNotNull() | F.col("_after").isNotNull()
     )
     return over_border(joined, "_after", _FIELDS).withColumns({
-        "_rn": F.col("_in_slice") + F.col("_offset"),
         "_speed": mean_speed(F.col("speed"), F.col("_n_speed")),
         "_km": segment_km(F.col("speed"), F.col("_n_speed"), F.col("_n_time_lag")),
     })
 
 
+def _slice_sums() -> list[Column]:
+    """Number, length and time of the segments of a slice; the time of the first point apart."""
+    return [
+        F.count(F.lit(1)).alias("segments"),
+        F.sum("_km").alias("km"),
+        F.sum("_n_time_lag").alias("lag"),
+        F.min_by("time_lag", "_row").alias("first_lag"),
+    ]
+
+
 def trip_segments(
     points: DataFrame, tie: Sequence[str] = TIE, slice_seconds: int = SLICE_SECONDS
 ) -> DataFrame:
@@ -67,17 +68,25 @@ def trip_segments(
     Distance is the sum of mean speed times time over the segments. Row numbers start at 1.
     """
     segments = _keyed_segments(points, tie, slice_seconds)
-    per_slice = segments.groupBy(*SLICE).agg(F.sum("_km").alias("_slice_km"))
-    trip_km = F.sum("_slice_km").over(Window.partitionBy(*TRIP))
-    totals = per_slice.select(*SLICE, round_half_up(trip_km).alias("total_distance_km"))
+    # Totals and the number of segments before each slice come from one row per slice.
+    per_slice = segments.groupBy(*SLICE).agg(*_slice_sums())
+    whole = Window.partitionBy(*TRIP)
+    first_lag = F.first("first_lag").over(
+        trip_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    totals = per_slice.select(
+        *SLICE,
+        (F.sum("segments").over(trip_window()) - F.col("segments")).alias("_before"),
+        _plus(F.sum("lag").over(whole), first_lag).alias("total_duration_seconds"),
+        round_half_up(F.sum("km").over(whole)).alias("total_distance_km"),
+    )
     out = segments.join(totals, list(SLICE), "left").withColumns({
-        "rn": F.col("_rn"),
+        "rn": F.col("_row") + F.col("_before"),
         "lat1": F.col("lat"), "lon1": F.col("lng"),
         "lat2": F.col("_n_lat"), "lon2": F.col("_n_lng"),
         "segment_duration_seconds": F.col("_n_time_lag"),
         "avg_speed": round_half_up(F.col("_speed")),
         "color": speed_band(F.col("_speed")),
-        "total_duration_seconds": F.col("_total_lag"),
         "segment_geojson": geo.geojson(
             "LineString",
             geo.line(F.col("lng"), F.col("lat"), F.col("_n_lng"), F.col("_n_lat")),
@@ -89,6 +98,12 @@ def trip_segments(
     ])
 
 
+def _plus(total: Column, more: Column) -> Column:
+    """Sum that skips NULL, as the aggregate does."""
+    return F.when(total.isNotNull() | more.isNotNull(),
+                  F.coalesce(total, F.lit(0)) + F.coalesce(more, F.lit(0)))
+
+
 def trip_endpoints(segments: DataFrame) -> DataFrame:
     """First and last position of each trip, from its segments."""
     return segments.groupBy("uid", "tid").agg(
@@ -104,12 +119,11 @@ def trip_metrics(
     segments = _keyed_segments(points, tie, slice_seconds)
     # First to slices, in place, then to trips: no task holds all segments of a long trip.
     per_slice = segments.groupBy(*SLICE).agg(
-        F.min_by("lat", "_rn").alias("start_lat"), F.min_by("lng", "_rn").alias("start_lon"),
-        F.max_by("_n_lat", "_rn").alias("end_lat"), F.max_by("_n_lng", "_rn").alias("end_lon"),
-        F.count(F.lit(1)).alias("segments"),
-        F.sum("_km").alias("km"),
-        F.max("_total_lag").alias("lag"),
+        F.min_by("lat", "_row").alias("start_lat"), F.min_by("lng", "_row").alias("start_lon"),
+        F.max_by("_n_lat", "_row").alias("end_lat"), F.max_by("_n_lng", "_row").alias("end_lon"),
+        *_slice_sums(),
     )
+    seconds = _plus(F.sum("lag"), F.min_by("first_lag", "_slice"))
     out = per_slice.groupBy(*TRIP).agg(
         F.min_by("start_lat", "_slice").alias("start_lat"),
         F.min_by("start_lon", "_slice").alias("start_lon"),
@@ -117,7 +131,7 @@ def trip_metrics(
         F.max_by("end_lon", "_slice").alias("end_lon"),
         F.sum("segments").alias("segments"),
         round_half_up(F.sum("km")).alias("total_distance_km"),
-        F.max("lag").alias("total_duration_seconds"),
+        seconds.alias("total_duration_seconds"),
     ).withColumn("total_duration_minutes", minutes(F.col("total_duration_seconds")))
     return restore_keys(out, [
         "uid", "tid", "start_lat", "start_lon", "end_lat", "end_lon", "segments",

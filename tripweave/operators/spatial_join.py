@@ -62,17 +62,13 @@ def _cells_between(low: Column, high: Column, size: float) -> Column:
     return F.sequence(cell_of(low - margin, size), cell_of(high + margin, size))
 
 
-def _extent(edge_list: Column) -> dict[str, Column]:
-    def both(axis: str) -> Column:
-        return F.concat(
-            F.transform(edge_list, lambda e: e[f"{axis}1"]),
-            F.transform(edge_list, lambda e: e[f"{axis}2"]),
-        )
+def _apart(**columns: Column) -> Column:
+    """Columns computed once, in an operator of their own.
 
-    return {
-        "_xmin": F.array_min(both("x")), "_xmax": F.array_max(both("x")),
-        "_ymin": F.array_min(both("y")), "_ymax": F.array_max(both("y")),
-    }
+    Several uses of a costly column would otherwise each get a copy of its expression when the
+    optimizer merges projections and pushes filters down.
+    """
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
 
 
 def _cover_by_row(shapes: DataFrame, size: float) -> DataFrame:
@@ -85,10 +81,9 @@ def _cover_by_row(shapes: DataFrame, size: float) -> DataFrame:
         F.col("_edges"), _centre_x(F.col("ci"), size), _centre_y(F.col("cj"), size)
     )
     return (
-        cells.withColumns({"_local": local, "centre_in": centre})
-        .withColumn("edges", F.when(F.size("_local") > 0, F.col("_local")))
-        .filter(F.col("edges").isNotNull() | F.col("centre_in"))
-        .select("id", "ci", "cj", "centre_in", "edges")
+        cells.select("id", "ci", "cj", _apart(centre_in=centre, edges=local))
+        .filter((F.size("edges") > 0) | F.col("centre_in"))
+        .withColumn("edges", F.when(F.size("edges") > 0, F.col("edges")))
     )
 
 
@@ -140,18 +135,25 @@ def cover(
     *,
     id_column: str = "id",
     geometry: str = "geometry",
+    method: str = "auto",
     row_limit: int = ROW_COVER_LIMIT,
 ) -> DataFrame:
     """``(id, ci, cj, centre_in, edges)``; ``edges`` is NULL where the cell lies wholly inside.
 
-    Polygon ids must be unique. Polygons without an edge have no cover.
+    Polygon ids must be unique. ``method="row"`` covers each polygon within its row, right for
+    small ones; ``"auto"`` does so up to ``row_limit`` and follows the edges of larger ones.
     """
-    shapes = (
-        polygons.select(F.col(id_column).alias("id"), geo.edges(F.col(geometry)).alias("_edges"))
-        .filter(F.size("_edges") > 0)
-    )
-    shapes = shapes.withColumns(_extent(F.col("_edges")))
-    cells = 1e0
+    shapes = polygons.select(
+        F.col(id_column).alias("id"), _apart(_edges=geo.edges(F.col(geometry)))
+    ).filter(F.size("_edges") > 0)
+    shapes = shapes.withColumns({
+        f"_{axis}{name}": pick(F.transform("_edges", lambda e: both(e[f"{axis}1"], e[f"{axis}2"])))
+        for axis in "xy"
+        for name, pick, both in (("min", F.array_min, F.least), ("max", F.array_max, F.greatest))
+    })
+    if method == "row":
+        return _cover_by_row(shapes, cell_degrees)
+    cells = F.lit(1e0)
     for axis in "xy":
         span = (F.col(f"_{axis}max") - F.col(f"_{axis}min")) / F.lit(cell_degrees)
         cells = (F.floor(span) + 2) * cells
@@ -161,20 +163,24 @@ def cover(
     )
 
 
+def _crosses(e: Column, x: Column, y: Column, cx: Column, cy: Column) -> Column:
+    """The edge is crossed an odd number of times on the way from a point to the centre.
+
+    The corner of the way, (cx, y), has the same side in both terms: no edge is lost or counted
+    twice there.
+    """
+    here, corner, centre = (geo.side(e, px, py) > 0 for px, py in ((x, y), (cx, y), (cx, cy)))
+    along = geo.spans_y(e, y) & (here != corner)
+    across = geo.spans_x(e, cx) & (corner != centre)
+    return along != across
+
+
 def _inside_cell(lng: Column, lat: Column, size: float, closed: bool) -> Column:
     """Point test against one cover row, whose cell the point is in."""
-    edges, ci, cj = F.col("_c_edges"), F.col("_c_ci"), F.col("_c_cj")
-    cx, cy = _centre_x(ci, size), _centre_y(cj, size)
-
-    def crossed(e: Column) -> Column:
-        # The corner of the way, (cx, lat), has the same side in both terms: no edge is lost
-        # or counted twice there.
-        here, corner, centre = (geo.side(e, x, y) > 0 for x, y in ((lng, lat), (cx, lat), (cx, cy)))
-        along = geo.spans_y(e, lat) & (here != corner)
-        across = geo.spans_x(e, cx) & (corner != centre)
-        return along != across
-
-    inside = F.col("_c_centre_in") != geo.odd(F.filter(edges, crossed))
+    edges = F.col("_c_edges")
+    cx, cy = _centre_x(F.col("_c_ci"), size), _centre_y(F.col("_c_cj"), size)
+    crossed = F.filter(edges, lambda e: _crosses(e, lng, lat, cx, cy))
+    inside = F.col("_c_centre_in") != geo.odd(crossed)
     on_edge = geo.on_edges(edges, lng, lat)
     exact = (inside | on_edge) if closed else (inside & ~on_edge)
     return F.when(edges.isNull(), F.lit(True)).otherwise(exact)
@@ -190,14 +196,16 @@ def _join_points(
     id_column: str,
     geometry: str,
     cell_degrees: float,
+    grid: DataFrame | None,
     limit: int,
 ) -> DataFrame:
     values = [c for c in polygons.columns if c not in (geometry, id_column)]
-    grid = cover(polygons, cell_degrees, id_column=id_column, geometry=geometry)
-    grid = grid.join(
-        polygons.select(F.col(id_column).alias("id"), *[F.col(c).alias(f"_v_{c}") for c in values]),
-        "id",
-    ).select(
+    if grid is None:
+        grid = cover(polygons, cell_degrees, id_column=id_column, geometry=geometry)
+    named = polygons.select(
+        F.col(id_column).alias("id"), *[F.col(c).alias(f"_v_{c}") for c in values]
+    )
+    grid = grid.join(named, "id").select(
         F.col("ci").alias("_ci"), F.col("cj").alias("_cj"),
         F.col("ci").alias("_c_ci"), F.col("cj").alias("_c_cj"),
         F.col("centre_in").alias("_c_centre_in"), F.col("edges").alias("_c_edges"),
@@ -221,15 +229,17 @@ def join_within(
     id_column: str = "id",
     geometry: str = "geometry",
     cell_degrees: float = CELL_DEGREES,
+    grid: DataFrame | None = None,
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join points to the polygons they lie strictly within.
 
     The columns of ``polygons`` other than id and geometry are added. A point within several
     polygons gives a row for each; with ``how="left"`` one in none gives a row with NULLs.
+    ``grid`` is a stored :func:`cover` that holds at least these polygons.
     """
     return _join_points(
-        points, polygons, how, False, lng, lat, id_column, geometry, cell_degrees, limit
+        points, polygons, how, False, lng, lat, id_column, geometry, cell_degrees, grid, limit
     )
 
 
@@ -243,28 +253,15 @@ def join_intersects(
     id_column: str = "id",
     geometry: str = "geometry",
     cell_degrees: float = CELL_DEGREES,
+    grid: DataFrame | None = None,
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """As :func:`join_within`, the boundary included."""
     return _join_points(
-        points, polygons, how, True, lng, lat, id_column, geometry, cell_degrees, limit
+        points, polygons, how, True, lng, lat, id_column, geometry, cell_degrees, grid, limit
     )
 
 
-def _with_anchors(grid: DataFrame, polygons: DataFrame, id_column: str, geometry: str,
-                  size: float) -> DataFrame:
-    """Add to each cover row the ring points of its polygon that fall in its cell."""
-    points = polygons.select(
-        F.col(id_column).alias("id"), F.explode(geo.anchors(F.col(geometry))).alias("a")
-    )
-    points = points.withColumns({
-        "ci": cell_of(F.col("a.x"), size), "cj": cell_of(F.col("a.y"), size),
-    })
-    # At most the rings of one polygon, which came in as one value.
-    per_cell = points.groupBy("id", "ci", "cj").agg(F.collect_list("a").alias("anchors"))
-    return grid.join(per_cell, ["id", "ci", "cj"], "left")
-
-
 def intersecting_pairs(
     left: DataFrame,
     right: DataFrame,
@@ -272,6 +269,8 @@ def intersecting_pairs(
     id_column: str = "id",
     geometry: str = "geometry",
     cell_degrees: float = CELL_DEGREES,
+    left_method: str = "auto",
+    right_grid: DataFrame | None = None,
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Distinct ``(left_id, right_id)`` of polygons that share a point.
@@ -279,47 +278,41 @@ def intersecting_pairs(
     Both sides are covered. In a shared cell they meet if one of them fills the cell, if local
     edges meet, or if a ring point of one lies in the other; some shared cell shows it.
     """
-    a = _with_anchors(cover(left, cell_degrees, id_column=id_column, geometry=geometry),
-                      left, id_column, geometry, cell_degrees)
-    b = _with_anchors(cover(right, cell_degrees, id_column=id_column, geometry=geometry),
-                      right, id_column, geometry, cell_degrees)
-    a = a.select(
-        F.col("id").alias("left_id"), F.col("ci").alias("_ci"), F.col("cj").alias("_cj"),
-        F.col("centre_in").alias("_a_centre_in"), F.col("edges").alias("_a_edges"),
-        F.col("anchors").alias("_a_anchors"),
-    )
-    b = b.select(
-        F.col("id").alias("right_id"), F.col("ci").alias("_ci"), F.col("cj").alias("_cj"),
-        F.col("centre_in").alias("_b_centre_in"), F.col("edges").alias("_b_edges"),
-        F.col("anchors").alias("_b_anchors"),
+    names = {"id_column": id_column, "geometry": geometry}
+    left_grid = cover(left, cell_degrees, method=left_method, **names)
+    if right_grid is None:
+        right_grid = cover(right, cell_degrees, **names)
+
+    def side(grid: DataFrame, id_name: str, prefix: str) -> DataFrame:
+        return grid.select(
+            F.col("id").alias(id_name), F.col("ci").alias("_ci"), F.col("cj").alias("_cj"),
+            F.col("centre_in").alias(f"{prefix}centre_in"), F.col("edges").alias(f"{prefix}edges"),
+        )
+
+    ci, cj = F.col("_ci"), F.col("_cj")
+    cx, cy = _centre_x(ci, cell_degrees), _centre_y(cj, cell_degrees)
+
+    def holds_ring_point(prefix: str, other: str) -> Column:
+        """Some ring of ``other`` starts in this cell, at a point inside."""
+
+        def inside(start: Column) -> Column:
+            x, y = start["x1"], start["y1"]
+            crossed = F.filter(F.col(f"{prefix}edges"), lambda e: _crosses(e, x, y, cx, cy))
+            here = (cell_of(x, cell_degrees) == ci) & (cell_of(y, cell_degrees) == cj)
+            return start["first"] & here & (F.col(f"{prefix}centre_in") != geo.odd(crossed))
+
+        return F.exists(F.col(f"{other}edges"), inside)
+
+    a, b = "_a_", "_b_"
+    filled = F.col(f"{a}edges").isNull() | F.col(f"{b}edges").isNull()
+    meet = F.when(filled, F.lit(True)).otherwise(
+        geo.edge_lists_meet(F.col(f"{a}edges"), F.col(f"{b}edges"))
+        | holds_ring_point(a, b) | holds_ring_point(b, a)
     )
-    cx = _centre_x(F.col("_ci"), cell_degrees)
-    cy = _centre_y(F.col("_cj"), cell_degrees)
-
-    def holds(side_: str, anchors: str) -> Column:
-        edges, centre_in = F.col(f"_{side_}_edges"), F.col(f"_{side_}_centre_in")
-
-        def inside(p: Column) -> Column:
-            def crossed(e: Column) -> Column:
-                here = geo.side(e, p["x"], p["y"]) > 0
-                corner = geo.side(e, cx, p["y"]) > 0
-                centre = geo.side(e, cx, cy) > 0
-                along = geo.spans_y(e, p["y"]) & (here != corner)
-                across = geo.spans_x(e, cx) & (corner != centre)
-                return along != across
-
-            return centre_in != geo.odd(F.filter(edges, crossed))
-
-        return F.exists(F.col(anchors), inside)
-
-    no = F.lit(False)
-    meet = (
-        F.col("_a_edges").isNull() | F.col("_b_edges").isNull()
-        | F.coalesce(geo.edge_lists_meet(F.col("_a_edges"), F.col("_b_edges")), no)
-        | F.coalesce(holds("a", "_b_anchors"), no) | F.coalesce(holds("b", "_a_anchors"), no)
+    hits = join_lookup(
+        side(left_grid, "left_id", a), side(right_grid, "right_id", b), ["_ci", "_cj"], "inner",
+        condition=meet, salt_by=["left_id"], limit=limit,
     )
-    hits = join_lookup(a, b, ["_ci", "_cj"], "inner", condition=meet, salt_by=["left_id"],
-                       limit=limit)
     return hits.select("left_id", "right_id").distinct()
 
 
@@ -330,14 +323,19 @@ def join_polygons(
     id_column: str = "id",
     geometry: str = "geometry",
     cell_degrees: float = CELL_DEGREES,
+    left_method: str = "auto",
+    right_grid: DataFrame | None = None,
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Inner join of polygons to the polygons they intersect, one row per pair.
 
     Adds the columns of ``right`` other than id and geometry to those of ``left``.
+    ``right_grid`` is a stored :func:`cover` that holds at least the polygons of ``right``.
     """
-    pairs = intersecting_pairs(left, right, id_column=id_column, geometry=geometry,
-                               cell_degrees=cell_degrees, limit=limit)
+    pairs = intersecting_pairs(
+        left, right, id_column=id_column, geometry=geometry, cell_degrees=cell_degrees,
+        left_method=left_method, right_grid=right_grid, limit=limit,
+    )
     values = [c for c in right.columns if c not in (id_column, geometry)]
     named = right.select(F.col(id_column).alias("right_id"), *values)
     pairs = join_lookup(pairs, named, ["right_id"], "inner", limit=limit)

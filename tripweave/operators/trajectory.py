@@ -65,10 +65,8 @@ def trip_window() -> Window:
     return Window.partitionBy(*TRIP).orderBy("_slice")
 
 
-def edge_rows(
-    keyed: DataFrame, which: str, tie: Sequence[str], fields: Sequence[str], *more: Column
-) -> DataFrame:
-    """The first or last point of every slice as a struct ``edge``, and further aggregates.
+def edge_rows(keyed: DataFrame, which: str, tie: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """The first or last point of every slice as a struct ``edge``.
 
     A plain aggregate: it combines before the shuffle, so only slices travel, not points.
     """
@@ -77,8 +75,7 @@ def edge_rows(
     for c in tie:
         order += [F.col(c).isNull(), F.col(c)]
     pick = F.min_by if which == "first" else F.max_by
-    edge = pick(F.struct(*fields), F.struct(*order)).alias("edge")
-    return keyed.groupBy(*SLICE).agg(edge, *more)
+    return keyed.groupBy(*SLICE).agg(pick(F.struct(*fields), F.struct(*order)).alias("edge"))
 
 
 def neighbour_columns(
@@ -162,13 +159,12 @@ def drop_outlier_trips(
     speeds = _keyed_speeds(points, tie, slice_seconds)
     worst = speeds.groupBy(*SLICE).agg(F.max("speed").alias("_top"))
     trip_top = F.max("_top").over(Window.partitionBy(*TRIP))
-    bad = (
-        worst.filter(F.col("_null") == 0)
-        .withColumn("_top", trip_top)
-        .filter(F.col("_top") > limit)
-        .drop("_top")
+    # One condition, so that no part of it moves below the shuffles this branch shares with
+    # the points.
+    bad = worst.withColumn("_top", trip_top).filter(
+        F.when(F.col("_null") == 0, F.col("_top")) > limit
     )
-    kept = speeds.join(bad, list(SLICE), "left_anti")
+    kept = speeds.join(bad.drop("_top"), list(SLICE), "left_anti")
     return restore_keys(kept, [*points.columns, "time_lag", "speed"])
 
 
@@ -182,8 +178,11 @@ def attach_by_slice(
     """
     keyed = with_slice_key(points, slice_seconds)
     columns = [c for c in per_trip.columns if c not in ("uid", "tid")]
-    trips = with_trip_key(per_trip.filter(F.col("uid").isNotNull() & F.col("tid").isNotNull()))
-    slices = keyed.filter(F.col("_null") == 0).select(*SLICE).distinct()
-    spread = slices.join(trips.drop("uid", "tid"), list(TRIP), "inner")
+    trips = with_trip_key(per_trip).drop("uid", "tid")
+    spread = keyed.select(*SLICE).distinct().join(trips, list(TRIP), "inner")
     joined = keyed.join(spread, list(SLICE), "left")
+    # NULL keys match here, and lose the values again: a filter before the join would end up
+    # in only one of several branches that share a shuffle.
+    known = F.col("_null") == 0
+    joined = joined.withColumns({c: F.when(known, F.col(c)) for c in columns})
     return restore_keys(joined, [*points.columns, *columns])

@@ -15,6 +15,7 @@ from ..operators import countries as co
 from ..operators import hex_travel as hx
 from ..operators import pois, routes, segments, summary, trajectory, trips
 from ..operators.joins import join_lookup
+from ..operators.spatial_join import cover
 from ..session import prepare, stage_dir
 from ..sources import sample_inputs as inputs
 from ..sources.country_names import country_reference
@@ -56,10 +57,14 @@ class Stages:
 
         if name == "countries":
             return _countries(spark, self.sf_dir)
+        if name == "country_cover":
+            return cover(stage("countries"))
         if name == "points_clean":
             return trajectory.drop_outlier_trips(inputs.gps_points(spark, self.sf_dir))
         if name == "points_country":
-            return pipeline.points_country(stage("points_clean"), stage("countries"))
+            return pipeline.points_country(
+                stage("points_clean"), stage("countries"), stage("country_cover")
+            )
         if name == "points_mode":
             return pipeline.points_mode(stage("points_country"))
         if name == "trip_grain":
@@ -186,8 +191,8 @@ def countries(spark, sf_dir):
 
 @_query
 def points_country(spark, sf_dir):
-    clean, areas = (_stage(spark, sf_dir, s) for s in ("points_clean", "countries"))
-    tagged = pipeline.points_country(clean, areas)
+    names = ("points_clean", "countries", "country_cover")
+    tagged = pipeline.points_country(*(_stage(spark, sf_dir, s) for s in names))
     return _rounded(
         tagged.select("uid", "tid", "event_id", "time_lag", "speed", "country_code", "country_name"),
         "speed",
@@ -356,7 +361,8 @@ def infra_tags(spark, sf_dir):
 @_query
 def hgv_parkings(spark, sf_dir):
     found = pois.hgv_parkings(
-        inputs.infrastructure(spark, sf_dir), _stage(spark, sf_dir, "countries")
+        inputs.infrastructure(spark, sf_dir), _stage(spark, sf_dir, "countries"),
+        grid=_stage(spark, sf_dir, "country_cover"),
     )
     corner = F.get("geometry", F.lit(0))
     return found.select(
@@ -369,7 +375,8 @@ def hgv_parkings(spark, sf_dir):
 @_query
 def retail_stores(spark, sf_dir):
     return pois.retail_stores(
-        inputs.places(spark, sf_dir), _stage(spark, sf_dir, "countries"), STORE_COUNTRY
+        inputs.places(spark, sf_dir), _stage(spark, sf_dir, "countries"), STORE_COUNTRY,
+        grid=_stage(spark, sf_dir, "country_cover"),
     )
 
 

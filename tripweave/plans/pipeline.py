@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.countries import assert_unique, build_countries
 from ..operators.pois import hgv_parkings, retail_stores
-from ..operators.spatial_join import join_within
+from ..operators.spatial_join import cover, join_within
 from ..operators.summary import trip_grain
 from ..operators.trajectory import drop_outlier_trips
 from ..operators.trips import attach_trip_mode, trip_modes
@@ -32,12 +32,14 @@ class Inputs:
     store_country: str = "Germany"
 
 
-def points_country(points: DataFrame, countries: DataFrame) -> DataFrame:
+def points_country(
+    points: DataFrame, countries: DataFrame, grid: DataFrame | None = None
+) -> DataFrame:
     """Points with code and name of the country they lie in; one row per country if several."""
     named = countries.selectExpr(
         "id", "geometry", "iso_code AS country_code", "english_name AS country_name"
     )
-    return join_within(points, named, "left")
+    return join_within(points, named, "left", grid=grid)
 
 
 def points_mode(points: DataFrame) -> DataFrame:
@@ -49,14 +51,25 @@ Step = tuple[str, Callable[[Inputs, Callable[[str], DataFrame]], DataFrame], tup
 # Name, how to build it from the inputs and earlier stages, and the columns to cluster by.
 STEPS: list[Step] = [
     ("countries", lambda i, s: build_countries(i.divisions, i.reference), None),
+    ("country_cover", lambda i, s: cover(s("countries")), None),
     ("points_clean", lambda i, s: drop_outlier_trips(i.points), None),
-    ("points_country", lambda i, s: points_country(s("points_clean"), s("countries")), None),
+    (
+        "points_country",
+        lambda i, s: points_country(s("points_clean"), s("countries"), s("country_cover")),
+        None,
+    ),
     ("points_mode", lambda i, s: points_mode(s("points_country")), TRIP_ORDER),
     ("trip_grain", lambda i, s: trip_grain(s("points_mode")), None),
-    ("hgv_parkings", lambda i, s: hgv_parkings(i.infrastructure, s("countries")), None),
+    (
+        "hgv_parkings",
+        lambda i, s: hgv_parkings(i.infrastructure, s("countries"), grid=s("country_cover")),
+        None,
+    ),
     (
         "retail_stores",
-        lambda i, s: retail_stores(i.places, s("countries"), i.store_country),
+        lambda i, s: retail_stores(
+            i.places, s("countries"), i.store_country, grid=s("country_cover")
+        ),
         None,
     ),
 ]
