@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tripweave.operators import segments, summary
 from tripweave.operators.spatial_join import cover
-from tripweave.operators.trajectory import drop_outlier_trips, outlier_trips
+from tripweave.operators.trajectory import drop_outlier_trips, find_hot_trips, outlier_trips
 from tripweave.plans import pipeline
 from tripweave.plans.catalog import _countries
 from tripweave.session import prepare
@@ -74,17 +74,18 @@ def main() -> None:
 
     countries = write("countries", lambda: _countries(spark, SF_DIR))
     grid = write("country_cover", lambda: cover(countries))
-    drain("outlier_trips", lambda: outlier_trips(points))
-    clean = write("points_clean", lambda: drop_outlier_trips(points))
+    hot = timed("find_hot_trips", lambda: find_hot_trips(points))
+    drain("outlier_trips", lambda: outlier_trips(points, hot=hot))
+    clean = write("points_clean", lambda: drop_outlier_trips(points, hot=hot))
     tagged = write("points_country", lambda: pipeline.points_country(clean, countries, grid))
-    classified = write("points_mode", lambda: pipeline.points_mode(tagged), pipeline.TRIP_ORDER)
+    classified = write("points_mode", lambda: pipeline.points_mode(tagged, hot), pipeline.TRIP_ORDER)
     grain = write("trip_grain", lambda: summary.trip_grain(classified))
     drain("overview", lambda: summary.overview(grain))
     drain("mode_distribution", lambda: summary.mode_distribution(grain))
     drain("speed_distribution", lambda: summary.speed_distribution(grain))
     drain("sample_trips", lambda: summary.sample_trips(grain))
-    drain("trip_segments", lambda: segments.trip_segments(classified))
-    drain("trip_metrics", lambda: segments.trip_metrics(classified))
+    drain("trip_segments", lambda: segments.trip_segments(classified, hot=hot))
+    drain("trip_metrics", lambda: segments.trip_metrics(classified, hot=hot))
     print(json.dumps({
         "copies": copies, "skew": skew, "points": spark.read.parquet(f"{folder}/events.parquet").count(),
         "clean_points": clean.count(), "trips": grain.select("uid", "tid").distinct().count(),

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from tripweave.functions.geo import haversine_m
 from tripweave.functions.numbers import seconds_between
 from tripweave.operators.trajectory import (
-    attach_by_slice,
+    attach_to_trips,
     drop_outlier_trips,
+    find_hot_trips,
     outlier_trips,
     speed_points,
+    with_slice_key,
 )
 
 
@@ -72,11 +74,13 @@ def random_rows(seed, n=400):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("seconds", [7, 60, 900])
-def test_slices_equal_one_window(spark, seed, seconds):
+@pytest.mark.parametrize("limit", [5, 60, 10**6])
+def test_slices_equal_one_window(spark, seed, limit):
     df = points(spark, random_rows(seed))
-    assert_same_speeds(speed_points(df, slice_seconds=seconds), plain_speeds(df))
-    assert_same_speeds(drop_outlier_trips(df, slice_seconds=seconds), plain_clean(df))
+    hot = find_hot_trips(df, limit)
+    assert hot.any == (limit < 10**6)
+    assert_same_speeds(speed_points(df, hot=hot), plain_speeds(df))
+    assert_same_speeds(drop_outlier_trips(df, hot=hot), plain_clean(df))
 
 
 @given(
@@ -91,7 +95,7 @@ def test_slices_equal_one_window(spark, seed, seconds):
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 def test_clean_equals_anti_join(spark, drawn):
     df = points(spark, [(u, t, i, s, lat, 1e0) for i, (u, t, s, lat) in enumerate(drawn)])
-    assert_same_speeds(drop_outlier_trips(df, slice_seconds=5), plain_clean(df))
+    assert_same_speeds(drop_outlier_trips(df, hot=find_hot_trips(df, 3)), plain_clean(df))
 
 
 def test_jump_within_one_second_is_no_outlier(spark):
@@ -123,15 +127,27 @@ def test_trips_without_key_stay(spark):
             (u, t, p) for u, t in ((None, "1"), ("a", None), ("a", "1")) for p in fast
         )
     ])
-    kept = {(r.uid, r.tid) for r in drop_outlier_trips(df, slice_seconds=5).collect()}
+    kept = {(r.uid, r.tid) for r in drop_outlier_trips(df, hot=find_hot_trips(df, 1)).collect()}
     assert kept == {(None, "1"), ("a", None)}
 
 
-def test_attach_by_slice_matches_left_join(spark):
+@pytest.mark.parametrize("limit", [20, 10**6])
+def test_attach_to_trips_matches_left_join(spark, limit):
     df = points(spark, random_rows(5))
     trips = spark.createDataFrame(
         [("hot", "1", 1), ("a", "1", 2), (None, "1", 3), ("zz", "1", 4)],
         "uid string, tid string, mark int",
     )
     want = rows(df.join(trips, ["uid", "tid"], "left").select(*df.columns, "mark"))
-    assert rows(attach_by_slice(df, trips, slice_seconds=30)) == want
+    assert rows(attach_to_trips(df, trips, find_hot_trips(df, limit))) == want
+
+
+def test_bursts_are_cut_again(spark):
+    """A stray old point stretches the span of a trip; its crowded part is cut once more."""
+    rows_ = [("a", "1", i, 1e6 + i, 1e0, 1e0) for i in range(200)] + [("a", "1", 999, -1e9, 1e0, 1e0)]
+    df = points(spark, rows_)
+    hot = find_hot_trips(df, 20)
+    assert hot.trips.count() == 1 and hot.bursts.count() == 1
+    sizes = [r["count"] for r in with_slice_key(df, hot).groupBy("_slice").count().collect()]
+    assert sum(sizes) == 201 and max(sizes) <= 20
+    assert_same_speeds(speed_points(df, hot=hot), plain_speeds(df))

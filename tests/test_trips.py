@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pytest
-from frames import rows
+from frames import at, rows
 
 from tripweave.operators.percentiles import exact_percentiles
+from tripweave.operators.trajectory import find_hot_trips
 from tripweave.operators.trips import attach_trip_mode, classify_trips, trip_modes, trip_statistics
 
 
@@ -29,22 +30,25 @@ def test_percentiles_equal_numpy(spark, width):
 
 
 def speeds(spark, trips):
-    data = [(u, t, s) for (u, t), values in trips.items() for s in values]
-    return spark.createDataFrame(data, "uid string, tid string, speed double")
+    data = [(u, t, s, at(i)) for (u, t), values in trips.items() for i, s in enumerate(values)]
+    return spark.createDataFrame(
+        data, "uid string, tid string, speed double, event_timestamp timestamp"
+    )
 
 
-def test_statistics_of_short_and_empty_trips(spark):
+@pytest.mark.parametrize("limit", [1, 10**6])
+def test_statistics_of_short_and_empty_trips(spark, limit):
     df = speeds(spark, {("a", "1"): [4.0], ("a", "2"): [None], (None, "3"): [1.0, 2.0]})
-    got = {(r.uid, r.tid): r for r in trip_statistics(df).collect()}
+    hot = find_hot_trips(df, limit)
+    assert hot.any == (limit == 1)
+    got = {(r.uid, r.tid): r for r in trip_statistics(df, hot).collect()}
     assert set(got) == {("a", "1"), (None, "3")}
     assert got["a", "1"].stddev_speed is None and got["a", "1"].median_speed == 4.0
     assert got[None, "3"].avg_speed == 1.5 and got[None, "3"].p25_speed == 1.25
 
 
 def test_trip_without_speed_has_no_mode(spark):
-    df = speeds(spark, {("a", "1"): [4.0, 5.0], ("a", "2"): [None]}).selectExpr(
-        "*", "timestamp'2024-01-01' AS event_timestamp"
-    )
+    df = speeds(spark, {("a", "1"): [4.0, 5.0], ("a", "2"): [None]})
     marked = attach_trip_mode(df, trip_modes(df))
     got = set(rows(marked, "tid", "transportation_mode", "trip_avg_speed"))
     assert got == {("1", "walking", 4.5), ("2", None, None)}

@@ -1,8 +1,8 @@
 """Joins that hold when one key owns a large part of all rows.
 
 Two tools. :func:`join_lookup` broadcasts a side whose size was measured to be small and
-otherwise spreads the hot keys of an ordinary shuffle join with a salt. The trip-slice key of
-:mod:`tripweave.operators.trajectory` splits trips by time.
+otherwise spreads the hot keys of an ordinary shuffle join with a salt. Trips that hold too
+many points are cut by time in :mod:`tripweave.operators.trajectory`.
 """
 
 from __future__ import annotations
@@ -47,6 +47,12 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return measured_bytes(df) <= limit
 
 
+def row_salt(df: DataFrame) -> list[str]:
+    """The columns whose hash tells the rows of a hot key apart: all of atomic type."""
+    nested = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
+    return [f.name for f in df.schema.fields if not isinstance(f.dataType, nested)]
+
+
 def join_lookup(
     left: DataFrame,
     right: DataFrame,
@@ -82,11 +88,9 @@ def join_lookup(
     if fits_broadcast(right, limit):
         joined = left.join(F.broadcast(keyed), match, how)
     else:
-        names = salt_by or [
-            f.name for f in left.schema.fields
-            if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
-        ]
-        salted = left.withColumn("_salt", F.pmod(F.xxhash64(*names), F.lit(salts)).cast("int"))
+        names = salt_by or row_salt(left)
+        salt = F.pmod(F.xxhash64(*names), F.lit(salts)).cast("int")
+        salted = left.withColumn("_l_salt", salt)
         copies = keyed.withColumn("_r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = salted.join(copies, match & (F.col("_salt") == F.col("_r_salt")), how)
+        joined = salted.join(copies, match & (F.col("_l_salt") == F.col("_r_salt")), how)
     return joined.select(*left.columns, *extra)

@@ -12,9 +12,10 @@ from ..functions.numbers import mean_speed, minutes, round_half_up, segment_km
 from ..functions.rules import speed_band
 from .trajectory import (
     SLICE,
-    SLICE_SECONDS,
     TRIP,
+    HotTrips,
     edge_rows,
+    find_hot_trips,
     neighbour_columns,
     over_border,
     restore_keys,
@@ -28,65 +29,76 @@ TIE = ("event_id", "country_code")
 _FIELDS = ["lat", "lng", "speed", "time_lag"]
 
 
-def _keyed_segments(points: DataFrame, tie: Sequence[str], seconds: int) -> DataFrame:
+def _keyed_segments(points: DataFrame, tie: Sequence[str], hot: HotTrips) -> DataFrame:
     """Each point but a trip's last with its successor's fields as ``_n_<field>``.
 
     Partitioned by slice key; ``_row`` numbers the points of a slice.
     """
-    keyed = with_slice_key(points, seconds).select(
-        *SLICE, "event_timestamp", *tie, *[c for c in _FIELDS if c not in tie]
+    keyed = with_slice_key(points, hot).select(
+        *SLICE, "_hot", "event_timestamp", *tie, *[c for c in _FIELDS if c not in tie]
     )
-    first = edge_rows(keyed, "first", tie, _FIELDS)
-    after = first.select(*SLICE, F.lead("edge").over(trip_window()).alias("_after"))
-    inside = neighbour_columns(keyed, F.lead, tie, _FIELDS).withColumn(
+    near = neighbour_columns(keyed, F.lead, tie, _FIELDS).withColumn(
         "_row", F.row_number().over(slice_window(tie))
     )
-    joined = inside.join(after, list(SLICE), "left").filter(
-        F.col("_n_row").isNotNull() | F.col("_after").isNotNull()
-    )
-    return over_border(joined, "_after", _FIELDS).withColumns({
+    if hot.any:
+        near = over_border(near, edge_rows(keyed, "first", tie, _FIELDS), F.lead, _FIELDS)
+    return near.filter(F.col("_n_row").isNotNull()).withColumns({
         "_speed": mean_speed(F.col("speed"), F.col("_n_speed")),
         "_km": segment_km(F.col("speed"), F.col("_n_speed"), F.col("_n_time_lag")),
     })
 
 
-def _slice_sums() -> list[Column]:
+def _slice_sums() -> dict[str, Column]:
     """Number, length and time of the segments of a slice; the time of the first point apart."""
-    return [
-        F.count(F.lit(1)).alias("segments"),
-        F.sum("_km").alias("km"),
-        F.sum("_n_time_lag").alias("lag"),
-        F.min_by("time_lag", "_row").alias("first_lag"),
-    ]
+    return {
+        "_segments": F.count(F.lit(1)),
+        "_kms": F.sum("_km"),
+        "_lag": F.sum("_n_time_lag"),
+        "_first_lag": F.min_by("time_lag", "_row"),
+    }
 
 
 def trip_segments(
-    points: DataFrame, tie: Sequence[str] = TIE, slice_seconds: int = SLICE_SECONDS
+    points: DataFrame, tie: Sequence[str] = TIE, hot: HotTrips | None = None
 ) -> DataFrame:
     """One row per pair of consecutive points, with the totals of the trip on each.
 
     Distance is the sum of mean speed times time over the segments. Row numbers start at 1.
     """
-    segments = _keyed_segments(points, tie, slice_seconds)
-    # Totals and the number of segments before each slice come from one row per slice.
-    per_slice = segments.groupBy(*SLICE).agg(*_slice_sums())
-    whole = Window.partitionBy(*TRIP)
-    first_lag = F.first("first_lag").over(
-        trip_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    totals = per_slice.select(
-        *SLICE,
-        (F.sum("segments").over(trip_window()) - F.col("segments")).alias("_before"),
-        _plus(F.sum("lag").over(whole), first_lag).alias("total_duration_seconds"),
-        round_half_up(F.sum("km").over(whole)).alias("total_distance_km"),
-    )
-    out = segments.join(totals, list(SLICE), "left").withColumns({
-        "rn": F.col("_row") + F.col("_before"),
+    hot = hot or find_hot_trips(points)
+    segments = _keyed_segments(points, tie, hot)
+    # A trip in one piece has its totals in its own partition.
+    here = Window.partitionBy(*SLICE)
+    sums = _slice_sums()
+    out = segments.withColumns({n: sums[n].over(here) for n in ("_kms", "_lag", "_first_lag")})
+    number, km = F.col("_row"), F.col("_kms")
+    seconds = _plus(F.col("_lag"), F.col("_first_lag"))
+    if hot.any:
+        # Totals of hot trips, and the segments before each slice, from one row per slice.
+        per_slice = segments.filter("_hot").groupBy(*SLICE).agg(
+            *[c.alias(n) for n, c in sums.items()]
+        )
+        whole = Window.partitionBy(*TRIP)
+        upward = trip_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        totals = per_slice.select(
+            *SLICE,
+            (F.sum("_segments").over(upward) - F.col("_segments")).alias("_before"),
+            F.sum("_kms").over(whole).alias("_trip_km"),
+            _plus(F.sum("_lag").over(whole), F.first("_first_lag").over(upward)).alias("_trip_lag"),
+        )
+        out = out.join(totals, list(SLICE), "left")
+        number = number + F.coalesce("_before", F.lit(0))
+        km = F.when(F.col("_hot"), F.col("_trip_km")).otherwise(km)
+        seconds = F.when(F.col("_hot"), F.col("_trip_lag")).otherwise(seconds)
+    out = out.withColumns({
+        "rn": number.cast("long"),
         "lat1": F.col("lat"), "lon1": F.col("lng"),
         "lat2": F.col("_n_lat"), "lon2": F.col("_n_lng"),
         "segment_duration_seconds": F.col("_n_time_lag"),
         "avg_speed": round_half_up(F.col("_speed")),
         "color": speed_band(F.col("_speed")),
+        "total_duration_seconds": seconds,
+        "total_distance_km": round_half_up(km),
         "segment_geojson": geo.geojson(
             "LineString",
             geo.line(F.col("lng"), F.col("lat"), F.col("_n_lng"), F.col("_n_lat")),
@@ -113,24 +125,24 @@ def trip_endpoints(segments: DataFrame) -> DataFrame:
 
 
 def trip_metrics(
-    points: DataFrame, tie: Sequence[str] = TIE, slice_seconds: int = SLICE_SECONDS
+    points: DataFrame, tie: Sequence[str] = TIE, hot: HotTrips | None = None
 ) -> DataFrame:
     """Ends, duration, distance and number of segments of each trip with two points or more."""
-    segments = _keyed_segments(points, tie, slice_seconds)
+    segments = _keyed_segments(points, tie, hot or find_hot_trips(points))
     # First to slices, in place, then to trips: no task holds all segments of a long trip.
     per_slice = segments.groupBy(*SLICE).agg(
         F.min_by("lat", "_row").alias("start_lat"), F.min_by("lng", "_row").alias("start_lon"),
         F.max_by("_n_lat", "_row").alias("end_lat"), F.max_by("_n_lng", "_row").alias("end_lon"),
-        *_slice_sums(),
+        *[c.alias(n) for n, c in _slice_sums().items()],
     )
-    seconds = _plus(F.sum("lag"), F.min_by("first_lag", "_slice"))
+    seconds = _plus(F.sum("_lag"), F.min_by("_first_lag", "_slice"))
     out = per_slice.groupBy(*TRIP).agg(
         F.min_by("start_lat", "_slice").alias("start_lat"),
         F.min_by("start_lon", "_slice").alias("start_lon"),
         F.max_by("end_lat", "_slice").alias("end_lat"),
         F.max_by("end_lon", "_slice").alias("end_lon"),
-        F.sum("segments").alias("segments"),
-        round_half_up(F.sum("km")).alias("total_distance_km"),
+        F.sum("_segments").alias("segments"),
+        round_half_up(F.sum("_kms")).alias("total_distance_km"),
         seconds.alias("total_duration_seconds"),
     ).withColumn("total_duration_minutes", minutes(F.col("total_duration_seconds")))
     return restore_keys(out, [

@@ -1,30 +1,35 @@
 """Time gap and speed between consecutive points, and removal of implausible trips.
 
-A trip may be of any length, so no task ever holds a whole one. Points are shuffled by trip
-*and* time slice (``SLICE_SECONDS`` long). Inside a slice a window looks at the neighbour row;
-the neighbour across a slice border comes from a table with one row per trip and slice, small
-enough to order by trip. That table also carries values of the whole trip back to its slices,
-in joins that need no further shuffle of the points.
+Almost every trip is small: its points are shuffled by trip once, and one window does the work.
+A trip with more than ``HOT_ROWS`` points is *hot* (see :func:`find_hot_trips`) and is cut into
+time slices, so that no task holds all of it. Inside a slice the window looks at the neighbour
+row; the neighbour across a slice border comes from a table with one row per slice of a hot
+trip, small enough to order by trip. That table also carries values of the whole trip back to
+its slices, in joins that need no further shuffle of the points.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
 from ..functions.numbers import kmh, seconds_between
+from ..session import shared_dir
+from .joins import join_lookup, row_salt
 
-SLICE_SECONDS = 900
+HOT_ROWS = 1_000_000
 SPEED_LIMIT_KMH = 200e0
 TIE = ("event_id",)
 
-# uid and tid made non-NULL, which of them were NULL, and the time slice (last if no time).
+# uid and tid made non-NULL, which of them were NULL, and the slice (0 for a trip in one piece).
 TRIP = ("_uid", "_tid", "_null")
 SLICE = (*TRIP, "_slice")
-_NO_SLICE = 2**62
+_SUB = 2**31
+_NO_TIME = 2**62
 
 
 def with_trip_key(df: DataFrame) -> DataFrame:
@@ -37,11 +42,94 @@ def with_trip_key(df: DataFrame) -> DataFrame:
     })
 
 
-def with_slice_key(points: DataFrame, seconds: int = SLICE_SECONDS) -> DataFrame:
-    """The trip key and the time slice of each point."""
-    number = F.floor(F.unix_seconds(F.col("event_timestamp")) / F.lit(seconds)).cast("long")
-    keyed = with_trip_key(points).withColumn("_slice", F.coalesce(number, F.lit(_NO_SLICE)))
-    return keyed.drop("uid", "tid")
+@dataclass(frozen=True)
+class HotTrips:
+    """Trips with more than ``rows`` points, and how their time is cut.
+
+    ``trips`` cuts the span of a trip into equal parts of ``_width`` microseconds from ``_low``,
+    four for every ``rows`` points. Where points crowd, a part can still hold too many of them;
+    ``bursts`` cuts those parts again in the same way. Both have at most one row per ``rows``
+    points of the input.
+    """
+
+    rows: int
+    trips: DataFrame | None = None
+    bursts: DataFrame | None = None
+
+    @property
+    def any(self) -> bool:
+        return self.trips is not None
+
+
+def _crowded(keyed: DataFrame, keys: Sequence[str], rows: int) -> DataFrame | None:
+    """Groups of more than ``rows`` points with their time cut into parts; None if there are none."""
+    us = F.unix_micros("event_timestamp")
+    groups = keyed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(us).alias("_low"), F.max(us).alias("_high")
+    )
+    parts = F.least(F.ceil(F.col("_n") * 4 / F.lit(rows)), F.lit(_SUB - 1)).cast("long")
+    width = F.greatest(
+        F.lit(1), F.ceil((F.col("_high") - F.col("_low") + 1) / F.col("_parts")).cast("long")
+    )
+    found = (
+        groups.filter((F.col("_n") > rows) & F.col("_low").isNotNull())
+        .withColumn("_parts", parts)
+        .withColumn("_width", width)
+        .select(*keys, "_low", "_width", "_parts")
+    )
+    # Used several times and to decide the plan: computed once, kept where all hosts read it.
+    shared_dir(keyed.sparkSession)
+    found = found.checkpoint()
+    return None if found.isEmpty() else found
+
+
+def find_hot_trips(points: DataFrame, rows: int = HOT_ROWS) -> HotTrips:
+    """One count per trip (a second pass only if some trip is hot), run when called.
+
+    The result holds for any later table of the same trips.
+    """
+    keyed = with_trip_key(points).select(*TRIP, "event_timestamp")
+    trips = _crowded(keyed, TRIP, rows)
+    if trips is None:
+        return HotTrips(rows)
+    parted = _with_part(keyed, trips).filter(F.col("_low").isNotNull())
+    return HotTrips(rows, trips, _crowded(parted.drop("_low", "_width"), (*TRIP, "_part"), rows))
+
+
+def _cut(low: str, width: str) -> Column:
+    us = F.unix_micros("event_timestamp")
+    return F.floor((us - F.col(low)) / F.col(width)).cast("long")
+
+
+def _with_part(keyed: DataFrame, trips: DataFrame) -> DataFrame:
+    cuts = trips.select(*TRIP, "_low", "_width")
+    found = join_lookup(keyed, cuts, TRIP, "left", salt_by=["event_timestamp"])
+    return found.withColumn("_part", F.coalesce(_cut("_low", "_width"), F.lit(0)))
+
+
+def with_slice_key(points: DataFrame, hot: HotTrips) -> DataFrame:
+    """The trip key, ``_slice`` and ``_hot`` of each point, in place of uid and tid."""
+    keyed = with_trip_key(points).drop("uid", "tid")
+    if not hot.any:
+        return keyed.withColumns({"_slice": F.lit(0).cast("long"), "_hot": F.lit(False)})
+    keyed = _with_part(keyed, hot.trips)
+    sub = F.lit(0).cast("long")
+    if hot.bursts is not None:
+        cuts = hot.bursts.select(
+            *TRIP, "_part", F.col("_low").alias("_low2"), F.col("_width").alias("_width2")
+        )
+        keys = (*TRIP, "_part")
+        keyed = join_lookup(keyed, cuts, keys, "left", salt_by=["event_timestamp"])
+        inside = F.greatest(F.lit(0), F.least(F.lit(_SUB - 1), _cut("_low2", "_width2")))
+        sub = F.when(F.col("_low2").isNotNull(), inside).otherwise(sub)
+    is_hot = F.col("_low").isNotNull()
+    # Points of a hot trip without a time come last, as they do in the time order.
+    number = F.when(F.col("event_timestamp").isNull(), F.lit(_NO_TIME)).otherwise(
+        F.col("_part") * _SUB + sub
+    )
+    return keyed.withColumns({
+        "_slice": F.coalesce(F.when(is_hot, number), F.lit(0)).cast("long"), "_hot": is_hot,
+    }).drop("_low", "_width", "_low2", "_width2", "_part")
 
 
 def restore_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -61,12 +149,12 @@ def slice_window(tie: Sequence[str]) -> Window:
 
 
 def trip_window() -> Window:
-    """All slices of a trip in time order, over a table of one row per trip and slice."""
+    """All slices of a trip in time order, over a table of one row per slice of a hot trip."""
     return Window.partitionBy(*TRIP).orderBy("_slice")
 
 
 def edge_rows(keyed: DataFrame, which: str, tie: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """The first or last point of every slice as a struct ``edge``.
+    """The first or last point of every slice of the hot trips as a struct ``edge``.
 
     A plain aggregate: it combines before the shuffle, so only slices travel, not points.
     """
@@ -75,7 +163,8 @@ def edge_rows(keyed: DataFrame, which: str, tie: Sequence[str], fields: Sequence
     for c in tie:
         order += [F.col(c).isNull(), F.col(c)]
     pick = F.min_by if which == "first" else F.max_by
-    return keyed.groupBy(*SLICE).agg(pick(F.struct(*fields), F.struct(*order)).alias("edge"))
+    edge = pick(F.struct(*fields), F.struct(*order)).alias("edge")
+    return keyed.filter("_hot").groupBy(*SLICE).agg(edge)
 
 
 def neighbour_columns(
@@ -91,24 +180,31 @@ def neighbour_columns(
     return keyed.withColumns({**near, "_n_row": shift(F.lit(1)).over(order)})
 
 
-def over_border(joined: DataFrame, edge: str, fields: Sequence[str]) -> DataFrame:
-    """Take the neighbour from the next slice's ``edge`` where the own slice has none."""
-    return joined.withColumns({
-        f"_n_{f}": F.when(F.col("_n_row").isNotNull(), F.col(f"_n_{f}")).otherwise(
-            F.col(f"{edge}.{f}")
-        )
-        for f in fields
-    })
+def over_border(
+    near: DataFrame, edges: DataFrame, shift: Callable, fields: Sequence[str]
+) -> DataFrame:
+    """Take the neighbour from the adjoining slice where the own slice has none.
 
+    ``near`` is partitioned and sorted by slice key, so the join moves only ``edges``. Where
+    there is no neighbour at all ``_n_row`` stays NULL.
+    """
+    border = edges.select(*SLICE, shift("edge").over(trip_window()).alias("_border"))
+    joined = near.join(border, list(SLICE), "left")
+    own = F.col("_n_row").isNotNull()
+    taken = {
+        f"_n_{f}": F.when(own, F.col(f"_n_{f}")).otherwise(F.col(f"_border.{f}")) for f in fields
+    }
+    any_row = F.coalesce(F.col("_n_row"), F.when(F.col("_border").isNotNull(), F.lit(1)))
+    return joined.withColumns({**taken, "_n_row": any_row}).drop("_border")
 
-def _keyed_speeds(points: DataFrame, tie: Sequence[str], seconds: int) -> DataFrame:
+
+def _keyed_speeds(points: DataFrame, tie: Sequence[str], hot: HotTrips) -> DataFrame:
     """Points with slice key, ``time_lag`` and ``speed``, partitioned by slice key."""
-    keyed = with_slice_key(points, seconds)
+    keyed = with_slice_key(points, hot)
     place = ["event_timestamp", "lat", "lng"]
-    last = edge_rows(keyed, "last", tie, place)
-    before = last.withColumn("_before", F.lag("edge").over(trip_window())).drop("edge")
-    joined = neighbour_columns(keyed, F.lag, tie, place).join(before, list(SLICE), "left")
-    prev = over_border(joined, "_before", place)
+    near = neighbour_columns(keyed, F.lag, tie, place)
+    if hot.any:
+        near = over_border(near, edge_rows(keyed, "last", tie, place), F.lag, place)
     gap = seconds_between(F.col("_n_event_timestamp"), F.col("event_timestamp"))
     metres = haversine_m(F.col("_n_lat"), F.col("_n_lng"), F.col("lat"), F.col("lng"))
     no_place = F.col("_n_lat").isNull() | F.col("_n_lng").isNull()
@@ -116,32 +212,33 @@ def _keyed_speeds(points: DataFrame, tie: Sequence[str], seconds: int) -> DataFr
         kmh(metres, F.col("_gap"))
     )
     return (
-        prev.withColumn("_gap", gap)
+        near.withColumn("_gap", gap)
         .withColumns({"time_lag": F.coalesce(F.col("_gap"), F.lit(0)).cast("long"), "speed": speed})
-        .drop("_before", "_gap", "_n_row", *[f"_n_{f}" for f in place])
+        .drop("_gap", "_n_row", *[f"_n_{f}" for f in place])
     )
 
 
 def speed_points(
-    points: DataFrame, tie: Sequence[str] = TIE, slice_seconds: int = SLICE_SECONDS
+    points: DataFrame, tie: Sequence[str] = TIE, hot: HotTrips | None = None
 ) -> DataFrame:
     """Add ``time_lag`` (seconds since the trip's previous point) and ``speed`` (km/h).
 
     Both are 0 on a trip's first point; speed is also 0 after a point without position and
-    across a gap of zero seconds. ``tie`` orders points of the same time.
+    across a gap of zero seconds. ``tie`` orders points of the same time. ``hot`` is what
+    :func:`find_hot_trips` found, which runs here unless given.
     """
-    speeds = _keyed_speeds(points, tie, slice_seconds)
-    return restore_keys(speeds, [*points.columns, "time_lag", "speed"])
+    hot = hot or find_hot_trips(points)
+    return restore_keys(_keyed_speeds(points, tie, hot), [*points.columns, "time_lag", "speed"])
 
 
 def outlier_trips(
     points: DataFrame,
     limit: float = SPEED_LIMIT_KMH,
     tie: Sequence[str] = TIE,
-    slice_seconds: int = SLICE_SECONDS,
+    hot: HotTrips | None = None,
 ) -> DataFrame:
     """Trips with a point faster than ``limit``."""
-    speeds = speed_points(points, tie, slice_seconds)
+    speeds = speed_points(points, tie, hot)
     return speeds.filter(F.col("speed") > limit).select("uid", "tid").distinct()
 
 
@@ -149,40 +246,52 @@ def drop_outlier_trips(
     points: DataFrame,
     limit: float = SPEED_LIMIT_KMH,
     tie: Sequence[str] = TIE,
-    slice_seconds: int = SLICE_SECONDS,
+    hot: HotTrips | None = None,
 ) -> DataFrame:
     """:func:`speed_points` without the trips that have a point faster than ``limit``.
 
-    Points without a user or trip key belong to no trip and stay. The bad trips are marked on
-    their slices, so the anti join finds the points already in place.
+    Points without a user or trip key belong to no trip and stay. The second window runs on
+    the partitions of the first. Hot trips that are bad are marked on their slices, so their
+    anti join finds the points already in place.
     """
-    speeds = _keyed_speeds(points, tie, slice_seconds)
-    worst = speeds.groupBy(*SLICE).agg(F.max("speed").alias("_top"))
-    trip_top = F.max("_top").over(Window.partitionBy(*TRIP))
-    # One condition, so that no part of it moves below the shuffles this branch shares with
-    # the points.
-    bad = worst.withColumn("_top", trip_top).filter(
-        F.when(F.col("_null") == 0, F.col("_top")) > limit
-    )
-    kept = speeds.join(bad.drop("_top"), list(SLICE), "left_anti")
+    hot = hot or find_hot_trips(points)
+    speeds = _keyed_speeds(points, tie, hot)
+    top = F.max("speed").over(Window.partitionBy(*SLICE))
+    too_fast = F.when(F.col("_null") == 0, F.col("_top")) > limit
+    kept = speeds.withColumn("_top", top).filter(~F.coalesce(too_fast, F.lit(False)))
+    if hot.any:
+        worst = speeds.filter("_hot").groupBy(*SLICE).agg(F.max("speed").alias("_top"))
+        trip_top = F.max("_top").over(Window.partitionBy(*TRIP))
+        bad = worst.withColumn("_top", trip_top).filter(too_fast).select(*SLICE)
+        kept = kept.join(bad, list(SLICE), "left_anti")
     return restore_keys(kept, [*points.columns, "time_lag", "speed"])
 
 
-def attach_by_slice(
-    points: DataFrame, per_trip: DataFrame, slice_seconds: int = SLICE_SECONDS
+def attach_to_trips(
+    points: DataFrame, per_trip: DataFrame, hot: HotTrips | None = None
 ) -> DataFrame:
     """Left join trip-level values onto points by ``uid`` and ``tid``; NULL keys do not match.
 
-    The trip rows are first spread over the time slices their points fall in, so the join key
-    is trip and slice and a very long trip is many keys instead of one.
+    The points of a hot trip are spread by a salt over as many keys as the trip has parts, and
+    its row of values is copied to each.
     """
-    keyed = with_slice_key(points, slice_seconds)
+    hot = hot or find_hot_trips(points)
     columns = [c for c in per_trip.columns if c not in ("uid", "tid")]
+    keyed = with_trip_key(points).drop("uid", "tid")
     trips = with_trip_key(per_trip).drop("uid", "tid")
-    spread = keyed.select(*SLICE).distinct().join(trips, list(TRIP), "inner")
-    joined = keyed.join(spread, list(SLICE), "left")
-    # NULL keys match here, and lose the values again: a filter before the join would end up
-    # in only one of several branches that share a shuffle.
+    on = list(TRIP)
+    if hot.any:
+        parts = hot.trips.select(*TRIP, "_parts")
+        names = [c for c in row_salt(points) if c not in ("uid", "tid")]
+        keyed = join_lookup(keyed, parts, TRIP, "left", salt_by=names)
+        salt = F.pmod(F.xxhash64(*names), F.coalesce(F.col("_parts"), F.lit(1)))
+        keyed = keyed.withColumn("_salt", salt).drop("_parts")
+        last = F.coalesce(F.col("_parts"), F.lit(1)) - 1
+        trips = join_lookup(trips, parts, TRIP, "left", salt_by=list(TRIP)).withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0).cast("long"), last))
+        ).drop("_parts")
+        on.append("_salt")
+    joined = keyed.join(trips, on, "left")
     known = F.col("_null") == 0
     joined = joined.withColumns({c: F.when(known, F.col(c)) for c in columns})
     return restore_keys(joined, [*points.columns, *columns])

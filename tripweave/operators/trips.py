@@ -2,33 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round_half_up
 from ..functions.rules import classify_mode
+from .joins import join_lookup
 from .percentiles import exact_percentiles
-from .trajectory import SLICE_SECONDS, TRIP, attach_by_slice, restore_keys, with_trip_key
+from .trajectory import (
+    TRIP,
+    HotTrips,
+    attach_to_trips,
+    find_hot_trips,
+    restore_keys,
+    with_trip_key,
+)
 
 QUARTILES = {"median_speed": 0.5, "p75_speed": 0.75, "p25_speed": 0.25}
 SPEED_BUCKET_KMH = 0.25
+_MOMENTS = ["avg_speed", "max_speed", "min_speed", "stddev_speed"]
 
 
-def trip_statistics(points: DataFrame) -> DataFrame:
-    """Count, mean, extremes, spread and quartiles of the valid speeds of each trip, rounded."""
-    valid = with_trip_key(points.filter(F.col("speed") >= 0)).select(*TRIP, "speed")
-    moments = valid.groupBy(*TRIP).agg(
+def _moments() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("point_count"),
         F.avg("speed").alias("avg_speed"),
         F.max("speed").alias("max_speed"),
         F.min("speed").alias("min_speed"),
         F.stddev_samp("speed").alias("stddev_speed"),
+    ]
+
+
+def trip_statistics(points: DataFrame, hot: HotTrips | None = None) -> DataFrame:
+    """Count, mean, extremes, spread and quartiles of the valid speeds of each trip, rounded.
+
+    One aggregate with Spark's percentile, which holds the values of a trip together; the
+    quartiles of hot trips are found without that.
+    """
+    hot = hot or find_hot_trips(points)
+    valid = with_trip_key(points.filter(F.col("speed") >= 0)).select(*TRIP, "speed")
+    parts = []
+    if hot.any:
+        marked = join_lookup(
+            valid, hot.trips.select(*TRIP, F.lit(True).alias("_hot")), TRIP, "left",
+            salt_by=["speed"],
+        )
+        large = marked.filter("_hot").drop("_hot")
+        quartiles = exact_percentiles(large, TRIP, "speed", QUARTILES, SPEED_BUCKET_KMH)
+        parts.append(large.groupBy(*TRIP).agg(*_moments()).join(quartiles, list(TRIP)))
+        valid = marked.filter(F.col("_hot").isNull()).drop("_hot")
+    # Percentile has little to combine before the shuffle: values go straight to their trip.
+    together = valid.repartition(*TRIP).groupBy(*TRIP)
+    quantiles = F.percentile("speed", list(QUARTILES.values())).alias("_q")
+    stats = together.agg(*_moments(), quantiles).select(
+        *TRIP, "point_count", *_MOMENTS, *[F.col("_q")[i].alias(n) for i, n in enumerate(QUARTILES)]
     )
-    quartiles = exact_percentiles(valid, TRIP, "speed", QUARTILES, SPEED_BUCKET_KMH)
-    measures = ["avg_speed", "max_speed", "min_speed", "stddev_speed", *QUARTILES]
-    stats = moments.join(quartiles, list(TRIP)).withColumns(
-        {m: round_half_up(F.col(m)) for m in measures}
-    )
+    for part in parts:
+        stats = stats.unionByName(part)
+    measures = [*_MOMENTS, *QUARTILES]
+    stats = stats.withColumns({m: round_half_up(F.col(m)) for m in measures})
     return restore_keys(stats, ["uid", "tid", "point_count", *measures])
 
 
@@ -41,12 +73,12 @@ def classify_trips(stats: DataFrame) -> DataFrame:
     )
 
 
-def trip_modes(points: DataFrame) -> DataFrame:
-    return classify_trips(trip_statistics(points))
+def trip_modes(points: DataFrame, hot: HotTrips | None = None) -> DataFrame:
+    return classify_trips(trip_statistics(points, hot))
 
 
 def attach_trip_mode(
-    points: DataFrame, trips: DataFrame, slice_seconds: int = SLICE_SECONDS
+    points: DataFrame, trips: DataFrame, hot: HotTrips | None = None
 ) -> DataFrame:
     """Points with the mode and speeds of their trip; NULL where the trip has no valid speed."""
     per_trip = trips.select(
@@ -55,4 +87,4 @@ def attach_trip_mode(
         F.col("max_speed").alias("trip_max_speed"),
         F.col("median_speed").alias("trip_median_speed"),
     )
-    return attach_by_slice(points, per_trip, slice_seconds)
+    return attach_to_trips(points, per_trip, hot)

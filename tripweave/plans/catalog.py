@@ -34,6 +34,7 @@ class Stages:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.root, self.sf_dir, self.built = stage_dir(spark), sf_dir, set()
+        self._hot = None
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Stages:
@@ -42,6 +43,11 @@ class Stages:
             cls._known[key] = cls(spark, sf_dir)
         return cls._known[key]
 
+    def hot(self, spark: SparkSession) -> trajectory.HotTrips:
+        if self._hot is None:
+            self._hot = trajectory.find_hot_trips(inputs.gps_points(spark, self.sf_dir))
+        return self._hot
+
     def get(self, spark: SparkSession, name: str) -> DataFrame:
         if name not in self.built:
             cluster = pipeline.TRIP_ORDER if name == "points_mode" else None
@@ -60,17 +66,18 @@ class Stages:
         if name == "country_cover":
             return cover(stage("countries"))
         if name == "points_clean":
-            return trajectory.drop_outlier_trips(inputs.gps_points(spark, self.sf_dir))
+            points = inputs.gps_points(spark, self.sf_dir)
+            return trajectory.drop_outlier_trips(points, hot=self.hot(spark))
         if name == "points_country":
             return pipeline.points_country(
                 stage("points_clean"), stage("countries"), stage("country_cover")
             )
         if name == "points_mode":
-            return pipeline.points_mode(stage("points_country"))
+            return pipeline.points_mode(stage("points_country"), self.hot(spark))
         if name == "trip_grain":
             return summary.trip_grain(stage("points_mode"))
         if name == "trip_metrics":
-            return segments.trip_metrics(stage("points_mode"))
+            return segments.trip_metrics(stage("points_mode"), hot=self.hot(spark))
         if name == "route_responses":
             responses = inputs.route_responses(stage("points_clean"))
             return responses.withColumn("response", F.to_json("response"))
@@ -124,6 +131,14 @@ def _stage(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return Stages.of(spark, sf_dir).get(spark, name)
 
 
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stage(spark, sf_dir, "points_mode")
+
+
+def _hot(spark: SparkSession, sf_dir: str) -> trajectory.HotTrips:
+    return Stages.of(spark, sf_dir).hot(spark)
+
+
 # Points and trips.
 
 
@@ -134,7 +149,7 @@ def gps_points(spark, sf_dir):
 
 @_query
 def speed_points(spark, sf_dir):
-    speeds = trajectory.speed_points(inputs.gps_points(spark, sf_dir))
+    speeds = trajectory.speed_points(inputs.gps_points(spark, sf_dir), hot=_hot(spark, sf_dir))
     return _rounded(
         speeds.select("uid", "tid", "event_id", "event_timestamp", "time_lag", "speed"), "speed"
     )
@@ -142,12 +157,13 @@ def speed_points(spark, sf_dir):
 
 @_query
 def outlier_trips(spark, sf_dir):
-    return trajectory.outlier_trips(inputs.gps_points(spark, sf_dir))
+    return trajectory.outlier_trips(inputs.gps_points(spark, sf_dir), hot=_hot(spark, sf_dir))
 
 
 @_query
 def points_clean(spark, sf_dir):
-    clean = trajectory.drop_outlier_trips(inputs.gps_points(spark, sf_dir))
+    points = inputs.gps_points(spark, sf_dir)
+    clean = trajectory.drop_outlier_trips(points, hot=_hot(spark, sf_dir))
     return _rounded(clean, "speed")
 
 
@@ -201,17 +217,19 @@ def points_country(spark, sf_dir):
 
 @_query
 def trip_statistics(spark, sf_dir):
-    return trips.trip_statistics(_stage(spark, sf_dir, "points_country"))
+    points = _stage(spark, sf_dir, "points_country")
+    return trips.trip_statistics(points, _hot(spark, sf_dir))
 
 
 @_query
 def trip_modes(spark, sf_dir):
-    return trips.trip_modes(_stage(spark, sf_dir, "points_country"))
+    return trips.trip_modes(_stage(spark, sf_dir, "points_country"), _hot(spark, sf_dir))
 
 
 @_query
 def points_mode(spark, sf_dir):
-    classified = pipeline.points_mode(_stage(spark, sf_dir, "points_country"))
+    points = _stage(spark, sf_dir, "points_country")
+    classified = pipeline.points_mode(points, _hot(spark, sf_dir))
     return classified.select(
         "uid", "tid", "event_id", "event_timestamp", "time_lag", "country_code", "country_name",
         "transportation_mode", "trip_avg_speed", "trip_max_speed", "trip_median_speed",
@@ -298,7 +316,7 @@ def trip_picker(spark, sf_dir):
 
 @_query
 def trip_segments(spark, sf_dir):
-    out = segments.trip_segments(_stage(spark, sf_dir, "points_mode"))
+    out = segments.trip_segments(_points(spark, sf_dir), hot=_hot(spark, sf_dir))
     # The text of the line as numbers again: engines print the same number differently.
     shape = F.from_json("segment_geojson", "type string, coordinates array<array<double>>")
     out = out.withColumn("_line", shape).withColumns({
@@ -311,12 +329,12 @@ def trip_segments(spark, sf_dir):
 
 @_query
 def trip_metrics(spark, sf_dir):
-    return segments.trip_metrics(_stage(spark, sf_dir, "points_mode"))
+    return segments.trip_metrics(_points(spark, sf_dir), hot=_hot(spark, sf_dir))
 
 
 @_query
 def trip_endpoints(spark, sf_dir):
-    return segments.trip_endpoints(segments.trip_segments(_stage(spark, sf_dir, "points_mode")))
+    return segments.trip_endpoints(segments.trip_segments(_points(spark, sf_dir), hot=_hot(spark, sf_dir)))
 
 
 @_query

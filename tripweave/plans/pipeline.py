@@ -7,7 +7,7 @@ pipeline again gives the same tables.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,7 +15,7 @@ from ..operators.countries import assert_unique, build_countries
 from ..operators.pois import hgv_parkings, retail_stores
 from ..operators.spatial_join import cover, join_within
 from ..operators.summary import trip_grain
-from ..operators.trajectory import drop_outlier_trips
+from ..operators.trajectory import HotTrips, drop_outlier_trips, find_hot_trips
 from ..operators.trips import attach_trip_mode, trip_modes
 from ..sources.stages import write_stage
 
@@ -30,6 +30,7 @@ class Inputs:
     infrastructure: DataFrame
     places: DataFrame
     store_country: str = "Germany"
+    hot: HotTrips | None = None
 
 
 def points_country(
@@ -42,8 +43,9 @@ def points_country(
     return join_within(points, named, "left", grid=grid)
 
 
-def points_mode(points: DataFrame) -> DataFrame:
-    return attach_trip_mode(points, trip_modes(points))
+def points_mode(points: DataFrame, hot: HotTrips | None = None) -> DataFrame:
+    hot = hot or find_hot_trips(points)
+    return attach_trip_mode(points, trip_modes(points, hot), hot)
 
 
 Step = tuple[str, Callable[[Inputs, Callable[[str], DataFrame]], DataFrame], tuple | None]
@@ -52,13 +54,13 @@ Step = tuple[str, Callable[[Inputs, Callable[[str], DataFrame]], DataFrame], tup
 STEPS: list[Step] = [
     ("countries", lambda i, s: build_countries(i.divisions, i.reference), None),
     ("country_cover", lambda i, s: cover(s("countries")), None),
-    ("points_clean", lambda i, s: drop_outlier_trips(i.points), None),
+    ("points_clean", lambda i, s: drop_outlier_trips(i.points, hot=i.hot), None),
     (
         "points_country",
         lambda i, s: points_country(s("points_clean"), s("countries"), s("country_cover")),
         None,
     ),
-    ("points_mode", lambda i, s: points_mode(s("points_country")), TRIP_ORDER),
+    ("points_mode", lambda i, s: points_mode(s("points_country"), i.hot), TRIP_ORDER),
     ("trip_grain", lambda i, s: trip_grain(s("points_mode")), None),
     (
         "hgv_parkings",
@@ -79,6 +81,8 @@ def run_pipeline(spark: SparkSession, inputs: Inputs, root: str) -> dict[str, Da
     """Build and store every stage below ``root``; returns them as read back."""
     assert_unique(inputs.reference, ["iso_code"])
     assert_unique(inputs.divisions, ["id"])
+    # Found once on the raw points; all later tables hold parts of the same trips.
+    inputs = replace(inputs, hot=inputs.hot or find_hot_trips(inputs.points))
     built: dict[str, DataFrame] = {}
     for name, build, cluster_by in STEPS:
         built[name] = write_stage(build(inputs, built.__getitem__), root, name, cluster_by)
