@@ -151,3 +151,15 @@ def test_bursts_are_cut_again(spark):
     sizes = [r["count"] for r in with_slice_key(df, hot).groupBy("_slice").count().collect()]
     assert sum(sizes) == 201 and max(sizes) <= 20
     assert_same_speeds(speed_points(df, hot=hot), plain_speeds(df))
+
+
+def test_moments_are_cut_by_the_tie(spark):
+    """Points of one time, and points without a time, are cut by the tie column."""
+    rows_ = [("a", "1", i * 7 % 300, 5.0 if i < 200 else None, 1e0 + i / 1e4, 1e0) for i in range(300)]
+    df = points(spark, rows_ + [("a", "1", 900, 0.0, 1e0, 1e0), ("a", "1", 901, 9.0, 1e0, 1e0)])
+    hot = find_hot_trips(df, 20)
+    assert hot.moments.count() == 2
+    sizes = [r["count"] for r in with_slice_key(df, hot).groupBy("_slice").count().collect()]
+    assert sum(sizes) == 302 and max(sizes) <= 20
+    assert_same_speeds(speed_points(df, hot=hot), plain_speeds(df))
+    assert_same_speeds(drop_outlier_trips(df, hot=hot), plain_clean(df))

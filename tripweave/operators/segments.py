@@ -34,7 +34,7 @@ def _keyed_segments(points: DataFrame, tie: Sequence[str], hot: HotTrips) -> Dat
 
     Partitioned by slice key; ``_row`` numbers the points of a slice.
     """
-    keyed = with_slice_key(points, hot).select(
+    keyed = with_slice_key(points, hot, tie).select(
         *SLICE, "_hot", "event_timestamp", *tie, *[c for c in _FIELDS if c not in tie]
     )
     near = neighbour_columns(keyed, F.lead, tie, _FIELDS).withColumn(
@@ -65,7 +65,7 @@ def trip_segments(
 
     Distance is the sum of mean speed times time over the segments. Row numbers start at 1.
     """
-    hot = hot or find_hot_trips(points)
+    hot = hot or find_hot_trips(points, tie=tie)
     segments = _keyed_segments(points, tie, hot)
     # A trip in one piece has its totals in its own partition.
     here = Window.partitionBy(*SLICE)
@@ -128,7 +128,7 @@ def trip_metrics(
     points: DataFrame, tie: Sequence[str] = TIE, hot: HotTrips | None = None
 ) -> DataFrame:
     """Ends, duration, distance and number of segments of each trip with two points or more."""
-    segments = _keyed_segments(points, tie, hot or find_hot_trips(points))
+    segments = _keyed_segments(points, tie, hot or find_hot_trips(points, tie=tie))
     # First to slices, in place, then to trips: no task holds all segments of a long trip.
     per_slice = segments.groupBy(*SLICE).agg(
         F.min_by("lat", "_row").alias("start_lat"), F.min_by("lng", "_row").alias("start_lon"),

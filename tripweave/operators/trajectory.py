@@ -28,8 +28,8 @@ TIE = ("event_id",)
 # uid and tid made non-NULL, which of them were NULL, and the slice (0 for a trip in one piece).
 TRIP = ("_uid", "_tid", "_null")
 SLICE = (*TRIP, "_slice")
-_SUB = 2**31
-_NO_TIME = 2**62
+# A slice number has three parts: of the trip's time, of a burst, and of one moment by its tie.
+_PARTS, _SUBS = 2**20, 2**21
 
 
 def with_trip_key(df: DataFrame) -> DataFrame:
@@ -44,37 +44,44 @@ def with_trip_key(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class HotTrips:
-    """Trips with more than ``rows`` points, and how their time is cut.
+    """Trips with more than ``rows`` points, and how they are cut into slices.
 
     ``trips`` cuts the span of a trip into equal parts of ``_width`` microseconds from ``_low``,
     four for every ``rows`` points. Where points crowd, a part can still hold too many of them;
-    ``bursts`` cuts those parts again in the same way. Both have at most one row per ``rows``
-    points of the input.
+    ``bursts`` cuts those parts again in the same way, and ``moments`` what is still too large
+    by the tie column, if it is a number. All have at most one row per ``rows`` points.
     """
 
     rows: int
     trips: DataFrame | None = None
     bursts: DataFrame | None = None
+    moments: DataFrame | None = None
 
     @property
     def any(self) -> bool:
         return self.trips is not None
 
 
-def _crowded(keyed: DataFrame, keys: Sequence[str], rows: int) -> DataFrame | None:
-    """Groups of more than ``rows`` points with their time cut into parts; None if there are none."""
-    us = F.unix_micros("event_timestamp")
+def _time() -> Column:
+    return F.unix_micros("event_timestamp")
+
+
+def _crowded(
+    keyed: DataFrame, keys: Sequence[str], measure: Column, rows: int, most: int
+) -> DataFrame | None:
+    """Groups of more than ``rows`` points with ``measure`` cut into parts; None if none is."""
     groups = keyed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(us).alias("_low"), F.max(us).alias("_high")
-    )
-    parts = F.least(F.ceil(F.col("_n") * 4 / F.lit(rows)), F.lit(_SUB - 1)).cast("long")
-    width = F.greatest(
-        F.lit(1), F.ceil((F.col("_high") - F.col("_low") + 1) / F.col("_parts")).cast("long")
+        F.count(F.lit(1)).alias("_n"),
+        F.coalesce(F.min(measure), F.lit(0)).cast("long").alias("_low"),
+        F.coalesce(F.max(measure), F.lit(0)).cast("long").alias("_high"),
     )
+    parts = F.least(F.ceil(F.col("_n") * 4 / F.lit(rows)), F.lit(most)).cast("long")
+    # As doubles: the span of a tie column can exceed a long.
+    span = F.col("_high").cast("double") - F.col("_low").cast("double") + 1
     found = (
-        groups.filter((F.col("_n") > rows) & F.col("_low").isNotNull())
+        groups.filter(F.col("_n") > rows)
         .withColumn("_parts", parts)
-        .withColumn("_width", width)
+        .withColumn("_width", F.greatest(F.lit(1e0), F.ceil(span / F.col("_parts")).cast("double")))
         .select(*keys, "_low", "_width", "_parts")
     )
     # Used several times and to decide the plan: computed once, kept where all hosts read it.
@@ -83,53 +90,66 @@ def _crowded(keyed: DataFrame, keys: Sequence[str], rows: int) -> DataFrame | No
     return None if found.isEmpty() else found
 
 
-def find_hot_trips(points: DataFrame, rows: int = HOT_ROWS) -> HotTrips:
-    """One count per trip (a second pass only if some trip is hot), run when called.
+def find_hot_trips(
+    points: DataFrame, rows: int = HOT_ROWS, tie: Sequence[str] = TIE
+) -> HotTrips:
+    """One count per trip, and two further passes only if some trip is hot; runs when called.
 
     The result holds for any later table of the same trips.
     """
-    keyed = with_trip_key(points).select(*TRIP, "event_timestamp")
-    trips = _crowded(keyed, TRIP, rows)
+    numeric = ("tinyint", "smallint", "int", "bigint")
+    by_tie = [c for c in tie[:1] if c in points.columns and dict(points.dtypes)[c] in numeric]
+    keyed = with_trip_key(points).select(*TRIP, "event_timestamp", *by_tie)
+    trips = _crowded(keyed, TRIP, _time(), rows, _PARTS)
     if trips is None:
         return HotTrips(rows)
-    parted = _with_part(keyed, trips).filter(F.col("_low").isNotNull())
-    return HotTrips(rows, trips, _crowded(parted.drop("_low", "_width"), (*TRIP, "_part"), rows))
+    parted = _cut(keyed, trips, TRIP, _time(), "_part", _PARTS).filter("_hot").drop("_hot")
+    bursts = _crowded(parted, (*TRIP, "_part"), _time(), rows, _SUBS)
+    parted = _with_sub(parted, bursts)
+    keys = (*TRIP, "_part", "_sub")
+    moments = _crowded(parted, keys, F.col(by_tie[0]), rows, _SUBS) if by_tie else None
+    return HotTrips(rows, trips, bursts, moments)
 
 
-def _cut(low: str, width: str) -> Column:
-    us = F.unix_micros("event_timestamp")
-    return F.floor((us - F.col(low)) / F.col(width)).cast("long")
+def _cut(
+    keyed: DataFrame, cuts: DataFrame, keys: Sequence[str], measure: Column, name: str, most: int
+) -> DataFrame:
+    """Add ``name``, the part of each point, and ``_hot``, whether its group is cut at all.
+
+    Parts keep the order of ``measure``; its NULLs are last.
+    """
+    found = join_lookup(
+        keyed, cuts.select(*keys, "_low", "_width"), keys, "left", salt_by=["event_timestamp"]
+    )
+    offset = measure.cast("double") - F.col("_low").cast("double")
+    part = F.least(F.lit(most - 1), F.greatest(F.lit(0), F.floor(offset / F.col("_width"))))
+    part = F.when(measure.isNull(), F.lit(most)).otherwise(part)
+    hot = F.col("_low").isNotNull()
+    return found.withColumns({
+        name: F.coalesce(F.when(hot, part), F.lit(0)).cast("long"), "_hot": hot,
+    }).drop("_low", "_width")
 
 
-def _with_part(keyed: DataFrame, trips: DataFrame) -> DataFrame:
-    cuts = trips.select(*TRIP, "_low", "_width")
-    found = join_lookup(keyed, cuts, TRIP, "left", salt_by=["event_timestamp"])
-    return found.withColumn("_part", F.coalesce(_cut("_low", "_width"), F.lit(0)))
+def _with_sub(parted: DataFrame, bursts: DataFrame | None) -> DataFrame:
+    if bursts is None:
+        return parted.withColumn("_sub", F.lit(0).cast("long"))
+    return _cut(parted, bursts, (*TRIP, "_part"), _time(), "_sub", _SUBS - 1).drop("_hot")
 
 
-def with_slice_key(points: DataFrame, hot: HotTrips) -> DataFrame:
+def with_slice_key(points: DataFrame, hot: HotTrips, tie: Sequence[str] = TIE) -> DataFrame:
     """The trip key, ``_slice`` and ``_hot`` of each point, in place of uid and tid."""
     keyed = with_trip_key(points).drop("uid", "tid")
     if not hot.any:
         return keyed.withColumns({"_slice": F.lit(0).cast("long"), "_hot": F.lit(False)})
-    keyed = _with_part(keyed, hot.trips)
-    sub = F.lit(0).cast("long")
-    if hot.bursts is not None:
-        cuts = hot.bursts.select(
-            *TRIP, "_part", F.col("_low").alias("_low2"), F.col("_width").alias("_width2")
-        )
-        keys = (*TRIP, "_part")
-        keyed = join_lookup(keyed, cuts, keys, "left", salt_by=["event_timestamp"])
-        inside = F.greatest(F.lit(0), F.least(F.lit(_SUB - 1), _cut("_low2", "_width2")))
-        sub = F.when(F.col("_low2").isNotNull(), inside).otherwise(sub)
-    is_hot = F.col("_low").isNotNull()
-    # Points of a hot trip without a time come last, as they do in the time order.
-    number = F.when(F.col("event_timestamp").isNull(), F.lit(_NO_TIME)).otherwise(
-        F.col("_part") * _SUB + sub
+    keyed = _cut(keyed, hot.trips, TRIP, _time(), "_part", _PARTS).withColumnRenamed("_hot", "_any")
+    keyed = _with_sub(keyed, hot.bursts).withColumn("_tie", F.lit(0).cast("long"))
+    if hot.moments is not None:
+        keys = (*TRIP, "_part", "_sub")
+        keyed = _cut(keyed, hot.moments, keys, F.col(tie[0]), "_tie", _SUBS - 1).drop("_hot")
+    number = (F.col("_part") * _SUBS + F.col("_sub")) * _SUBS + F.col("_tie")
+    return keyed.withColumn("_slice", number).drop("_part", "_sub", "_tie").withColumnRenamed(
+        "_any", "_hot"
     )
-    return keyed.withColumns({
-        "_slice": F.coalesce(F.when(is_hot, number), F.lit(0)).cast("long"), "_hot": is_hot,
-    }).drop("_low", "_width", "_low2", "_width2", "_part")
 
 
 def restore_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -200,7 +220,7 @@ def over_border(
 
 def _keyed_speeds(points: DataFrame, tie: Sequence[str], hot: HotTrips) -> DataFrame:
     """Points with slice key, ``time_lag`` and ``speed``, partitioned by slice key."""
-    keyed = with_slice_key(points, hot)
+    keyed = with_slice_key(points, hot, tie)
     place = ["event_timestamp", "lat", "lng"]
     near = neighbour_columns(keyed, F.lag, tie, place)
     if hot.any:
@@ -227,7 +247,7 @@ def speed_points(
     across a gap of zero seconds. ``tie`` orders points of the same time. ``hot`` is what
     :func:`find_hot_trips` found, which runs here unless given.
     """
-    hot = hot or find_hot_trips(points)
+    hot = hot or find_hot_trips(points, tie=tie)
     return restore_keys(_keyed_speeds(points, tie, hot), [*points.columns, "time_lag", "speed"])
 
 
@@ -254,7 +274,7 @@ def drop_outlier_trips(
     the partitions of the first. Hot trips that are bad are marked on their slices, so their
     anti join finds the points already in place.
     """
-    hot = hot or find_hot_trips(points)
+    hot = hot or find_hot_trips(points, tie=tie)
     speeds = _keyed_speeds(points, tie, hot)
     top = F.max("speed").over(Window.partitionBy(*SLICE))
     too_fast = F.when(F.col("_null") == 0, F.col("_top")) > limit
