@@ -39,6 +39,8 @@ def copies_of_events(spark: SparkSession, copies: int, skew: bool, folder: str)
         week = F.timestamp_seconds(F.lit(2819 * 604800) + F.unix_seconds(ts.cast("timestamp")) % 604800)
         user = F.when(hot, F.lit(8)).otherwise(user)
         ts = F.when(hot, week.cast("timestamp_ntz")).otherwise(ts)
+        # Without the large values that would make the trip an outlier and drop it.
+        rows = rows.withColumn("value", F.when(hot, F.least("value", F.lit(3e2))).otherwise(F.col("value")))
     rows = rows.withColumns({
         "user_id": user, "ts": ts, "event_id": F.col("event_id") * copies + copy,
     }).drop("copy")

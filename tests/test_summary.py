@@ -1,13 +1,13 @@
 """Summaries on hand-made points: composed keys, ties, NULL order, weights."""
 
+import pytest
 from frames import rows
+from pyspark.sql import functions as F
 
 from tripweave.operators import summary
 from tripweave.operators.countries import assert_unique, duplicate_keys
 from tripweave.sources.country_names import country_reference
 
-import pytest
-
 SCHEMA = (
     "uid string, tid string, transportation_mode string, country_name string, speed double, "
     "trip_avg_speed double, trip_max_speed double, trip_median_speed double"
@@ -99,6 +99,12 @@ def test_trip_picker(spark):
     assert summary.trips_for(trips).count() == 4
 
 
+def test_composed_id_splits_into_keys(spark):
+    df = spark.createDataFrame([("9-1",), ("1-2-3",), ("x",)], "id string")
+    got = [tuple(r) for r in df.select(*summary.trip_keys(F.col("id"))).collect()]
+    assert got == [("9", "1"), ("1", "2-3"), ("x", None)]
+
+
 def test_key_checks(spark):
     names = country_reference(spark)
     assert assert_unique(names, ["iso_code"]).count() == 198

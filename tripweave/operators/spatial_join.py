@@ -18,9 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .joins import BROADCAST_BYTES, join_lookup
+from .joins import join_lookup
 
 CELL_DEGREES = 0.5
+# A cover is broadcast up to this measured size: larger than other tables, because the
+# alternative shuffles all points. It grows with the polygons, not with the points.
+COVER_BROADCAST_BYTES = 512 * 1024 * 1024
 
 # The centre is taken a little off the middle, where polygons of round numbers have no corner.
 _CENTRE_X, _CENTRE_Y = 0.5137, 0.4863
@@ -230,7 +233,7 @@ def join_within(
     geometry: str = "geometry",
     cell_degrees: float = CELL_DEGREES,
     grid: DataFrame | None = None,
-    limit: int = BROADCAST_BYTES,
+    limit: int = COVER_BROADCAST_BYTES,
 ) -> DataFrame:
     """Join points to the polygons they lie strictly within.
 
@@ -254,7 +257,7 @@ def join_intersects(
     geometry: str = "geometry",
     cell_degrees: float = CELL_DEGREES,
     grid: DataFrame | None = None,
-    limit: int = BROADCAST_BYTES,
+    limit: int = COVER_BROADCAST_BYTES,
 ) -> DataFrame:
     """As :func:`join_within`, the boundary included."""
     return _join_points(
@@ -271,7 +274,7 @@ def intersecting_pairs(
     cell_degrees: float = CELL_DEGREES,
     left_method: str = "auto",
     right_grid: DataFrame | None = None,
-    limit: int = BROADCAST_BYTES,
+    limit: int = COVER_BROADCAST_BYTES,
 ) -> DataFrame:
     """Distinct ``(left_id, right_id)`` of polygons that share a point.
 
@@ -325,7 +328,7 @@ def join_polygons(
     cell_degrees: float = CELL_DEGREES,
     left_method: str = "auto",
     right_grid: DataFrame | None = None,
-    limit: int = BROADCAST_BYTES,
+    limit: int = COVER_BROADCAST_BYTES,
 ) -> DataFrame:
     """Inner join of polygons to the polygons they intersect, one row per pair.
 

@@ -40,6 +40,12 @@ def trip_id(uid: str = "uid", tid: str = "tid") -> Column:
     return F.concat(F.col(uid), F.lit("-"), F.col(tid))
 
 
+def trip_keys(composed: Column) -> tuple[Column, Column]:
+    """User and trip key of a composed id from outside; right only if the user key has no dash."""
+    parts = F.split(composed, "-", 2)
+    return F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+
+
 def facet_filter(
     df: DataFrame,
     users: Sequence[str] | None = None,
