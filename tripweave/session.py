@@ -34,13 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the session names none (tests, one machine) is a new local folder made and set.
     """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = conf or spark.conf.get("spark.checkpoint.dir", None)
-    folder = folder or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
