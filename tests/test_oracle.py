@@ -8,7 +8,7 @@ from tripweave.operators.trajectory import find_hot_trips
 from tripweave.plans.catalog import Stages
 from tripweave.sources import sample_inputs
 
-QUERIES, ORACLE = registry.queries(), registry.oracle_sql()
+QUERIES, ORACLE = registry.QUERIES, registry.ORACLE
 
 
 @pytest.fixture(scope="module")
