@@ -78,7 +78,7 @@ WITH body AS (
   FROM pages
 ), keyed AS (
   SELECT page_id, strlen(html) AS payload_bytes,
-         list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
            (((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::BIGINT >> (5 * (3 - i % 4))) & 31) + 1)::INT, 1)),
            'string_agg', '') AS payload_digest,
          min(page_id) OVER (PARTITION BY html) AS first,
@@ -162,15 +162,15 @@ WITH RECURSIVE words AS (
   FROM documents
 ), sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))) END AS s
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
   FROM words
 ), shingles AS (SELECT doc_id, unnest(s) AS sh FROM sets),
 pairs AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
   FROM shingles a JOIN shingles b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2
 ), links AS (
   SELECT x, y FROM pairs JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y
-  WHERE 100 * both >= 80 * (len(a.s) + len(b.s) - both)
+  WHERE 100 * shared >= 80 * (len(a.s) + len(b.s) - shared)
 ), reach(x, y) AS (
   SELECT doc_id, doc_id FROM sets
   UNION
