@@ -1,0 +1,18 @@
+"""The corpus pipeline: stages keep columns, rejects go, the last stage reads records back."""
+
+import corpus_pipeline
+from tripweave.llm.common import Scratch
+
+
+def test_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scratch, columns, sizes = Scratch(spark, "test"), docs.columns, [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        assert docs.columns == columns
+        sizes.append(docs.count())
+    assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] > 0
+    assert docs.groupBy("doc_id").count().agg({"count": "max"}).first()[0] <= 2
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    rows = sorted((r.start, r.n_tokens) for r in out.collect())
+    assert len(rows) == sizes[4] and all(a + n == b for (a, n), (b, _) in zip(rows, rows[1:]))
