@@ -9,11 +9,14 @@ probability (1 - (1 - s^r)^m)^2.
 Documents with equal sets are one class. Only half bands of the first collection that two
 classes share are combined with those of the second. Candidates are verified on the full sets:
 
-1. each class against the least class that it meets: large groups of near copies become
-   connected after as many comparisons as they have members;
-2. in the buckets where classes are still apart, all pairs of different components, cut to
-   pairs whose sizes and whose 2 m r minhashes allow the similarity. Buckets of more than
-   ``BLOCK`` classes are compared part by part.
+1. each class against the least class that it meets, by a join of the pairs with their texts;
+2. in the buckets where components are still apart, all pairs of different components, inside
+   the groups of a bucket: members are first cut to those with a partner that sizes and the
+   2 m r minhashes allow, then get their texts, and are compared best partner first; a pair is
+   skipped once its components are linked. Groups return a link per pair of components.
+
+A pair counts in the first bucket that it shares. Buckets with the same classes are looked at
+once, those of more than ``BLOCK`` classes part by part.
 
 So every pair that meets is verified, unless it is connected anyway. Components are computed by
 distributed alternating stars.
@@ -21,8 +24,8 @@ distributed alternating stars.
 Defined results: words are the runs of characters other than the six ASCII white-space
 characters, with A-Z lower-cased; fewer words than a shingle are one shingle of their own; a null
 or empty text, or one of white space, has no shingles and links with nothing; rows with a null
-id link with nothing and are kept; rows that share an id are one document with the sets of all
-of them; an empty table gives an empty result; other columns are never read.
+id link with nothing and are kept; rows that share an id are one document,
+whose texts should agree; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -41,8 +44,9 @@ from .common import Scratch, connected_components, rows_of, rows_without
 BLOCK = 512
 #: Words of text that are hashed at once.
 WORDS = 1 << 18
-#: Share of minhashes that must agree before sets are fetched; 0.8 gives less once in 10^7.
-LEAST_AGREEMENT = 0.5
+#: Share of minhashes that must agree before sets are fetched; of 60 at similarity 0.8, fewer
+#: agree once in 10^4.
+LEAST_AGREEMENT = 0.6
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -131,8 +135,8 @@ def signatures(
     return wanted.mapInArrow(sign, schema)
 
 
-def buckets(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, id): the tables' keys that two classes or more share, with their classes.
+def buckets(classes: DataFrame, m: int, scratch: Scratch) -> DataFrame:
+    """(key, t, id, hub): keys of table t that two classes or more share, with their classes.
 
     Keys are first counted by the half bands of the first collection: a class goes on only with
     those that it shares, and only these are combined with the second collection.
@@ -142,12 +146,34 @@ def buckets(classes: DataFrame, scratch: Scratch) -> DataFrame:
     shared = shared.where("lo < hi").select("i", "half")
     going = scratch.table(first.join(shared, ["i", "half"]), "half-bands")
     rows = going.select("id", "i", "half", F.posexplode("b").alias("j", "other"))
-    rows = rows.select("id", F.xxhash64("i", "half", "j", "other").alias("key"))
+    table = (F.col("i") * m + F.col("j")).alias("t")
+    rows = rows.select("id", table, F.xxhash64("i", "half", "j", "other").alias("key"))
     live = rows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("hi"))
     live = live.where("hub < hi").select("key", "hub")
     return scratch.table(rows.join(live, "key"), "buckets")
 
 
+def _cells(met: DataFrame, components: DataFrame, classes: DataFrame, block: int, scratch: Scratch, name: str) -> DataFrame:
+    """The members of buckets with several components, in cells of two parts of a bucket."""
+    component = F.coalesce("component", "id").alias("component")
+    placed = scratch.table(met.join(components, "id", "left").select("key", "t", "id", component), f"{name}-placed")
+    one, two = F.xxhash64("id"), F.xxhash64(F.lit(1), "id")
+    apart = placed.groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows"),
+        F.first("t").alias("t"), F.bit_xor(one).alias("x"), F.bit_xor(two).alias("y"),
+    ).where("lo < hi")
+    # Of buckets with the same members, the one of the first table stands for all.
+    apart = apart.groupBy("rows", "x", "y").agg(F.min(F.struct("t", "key")).alias("k"))
+    apart = scratch.table(apart.select("k.key", "rows"), f"{name}-apart")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    return (
+        placed.join(apart, "key").withColumn("parts", F.ceil(F.col("rows") / block).cast("int"))
+        .withColumn("part", part).join(classes.select("id", "n", "a", "b", "sketch"), "id")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+    ).select("key", "t", "low", "high", "part", "id", "component", "n", "a", "b", "sketch")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) of ``pairs`` whose sets, of the whole texts, are similar enough.
 
@@ -181,30 +207,93 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scr
     return scratch.table(full.mapInArrow(check, "a long, b long").distinct(), f"{name}-links")
 
 
-def _apart(percent: int, least: float):
-    def pairs(table: pa.Table) -> pa.Table:
-        rows = table.combine_chunks()
-        ids, comp, n = (rows[c].to_numpy() for c in ("id", "component", "n"))
-        part = rows["part"].to_numpy()
+class _Cell:
+    """The members of two parts of a bucket, and the pairs of them that may be similar."""
+
+    def __init__(self, table: pa.Table, percent: int, m: int):
+        rows = self.rows = table.combine_chunks()
+        self.percent = percent
+        self.ids, self.comp, self.n, part = (rows[c].to_numpy() for c in ("id", "component", "n", "part"))
         low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
-        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(len(ids), -1)
-        left = np.flatnonzero(part == low)
-        right = left if low == high else np.flatnonzero(part == high)
-        out_a, out_b = [], []
-        for x in left:
-            ok = (comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))
-            if low == high:
-                ok &= ids[right] > ids[x]
-            some = right[ok]
+        self.i, self.j = divmod(rows["t"][0].as_py(), m)
+        size = len(self.ids)
+        self.sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(size, -1)
+        self.a, self.b = (rows[c].combine_chunks().flatten().to_numpy().reshape(size, m) for c in ("a", "b"))
+        self.left, self.one = np.flatnonzero(part == low), low == high
+        self.right = self.left if self.one else np.flatnonzero(part == high)
+
+    def partners(self, x: int) -> tuple[np.ndarray, np.ndarray]:
+        """Members of other components that x may be similar to, with their agreement."""
+        right, n = self.right, self.n
+        ok = (self.comp[right] != self.comp[x]) & (
+            100 * np.minimum(n[right], n[x]) >= self.percent * np.maximum(n[right], n[x])
+        )
+        if self.one:
+            ok &= self.ids[right] > self.ids[x]
+        some = right[ok]
+        agree = (self.sketch[some] == self.sketch[x]).mean(1) if len(some) else np.empty(0)
+        some, agree = some[agree >= LEAST_AGREEMENT], agree[agree >= LEAST_AGREEMENT]
+        i, j = self.i, self.j
+        before = (self.a[some, :i] == self.a[x, :i]).any(1) | (self.b[some, :j] == self.b[x, :j]).any(1)
+        return some[~before], agree[~before]
+
+
+def _with_partner(percent: int, m: int):
+    def members(table: pa.Table) -> pa.Table:
+        cell = _Cell(table, percent, m)
+        wanted = np.zeros(len(cell.ids), bool)
+        for x in cell.left:
+            some, _ = cell.partners(x)
             if len(some):
-                agree = (sketch[some] == sketch[x]).mean(1)
-                some = some[agree >= least]
-                out_a.append(np.minimum(ids[some], ids[x]))
-                out_b.append(np.maximum(ids[some], ids[x]))
-        empty = [np.empty(0, np.int64)]
-        return pa.table({"a": np.concatenate(out_a or empty), "b": np.concatenate(out_b or empty)})
-
-    return pairs
+                wanted[some] = wanted[x] = True
+        return cell.rows.filter(pa.array(wanted))
+
+    return members
+
+
+def _similar(own: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets are similar enough to the set ``own``."""
+    sizes = np.array([len(s) for s in others])
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    both = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * both >= percent * (len(own) + sizes - both)
+
+
+def _linked(percent: int, m: int, k: int):
+    def links(table: pa.Table) -> pa.Table:
+        cell = _Cell(table, percent, m)
+        sets: list[np.ndarray] = []
+        for _, texts in _batches(cell.rows["text"].combine_chunks()):
+            sets += shingle_sets(texts, k)
+        root = {c: c for c in cell.comp.tolist()}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out = []
+        for x in cell.left.tolist():
+            some, agree = cell.partners(x)
+            some, size = some[np.argsort(-agree, kind="stable")], 1
+            while len(some):
+                own = top(int(cell.comp[x]))
+                some = np.array([y for y in some.tolist() if top(int(cell.comp[y])) != own], int)
+                head, some = some[:size], some[size:]
+                if len(head):
+                    good = _similar(sets[x], [sets[y] for y in head], percent)
+                    for y in head[good].tolist():
+                        if top(int(cell.comp[y])) != top(int(cell.comp[x])):
+                            root[top(int(cell.comp[y]))] = top(int(cell.comp[x]))
+                            out.append((int(cell.ids[y]), int(cell.ids[x])))
+                size = 4 * size
+        return pa.table({
+            "a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())
+        })
+
+    return links
 
 
 def near_duplicates(
@@ -223,34 +312,24 @@ def near_duplicates(
         "classes",
     )
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    met = buckets(classes, scratch)
+    met = buckets(classes, m, scratch)
 
     size = classes.select("id", "n")
     nearest = met.where("id != hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a"))
     nearest = _possible(nearest, size, percent)
-    links = verify(scratch.table(nearest, "pairs-1"), whole, words, percent, scratch, "first")
-    found = scratch.table(connected_components(links, scratch, "stars-1"), "components-1")
-
-    placed = met.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    placed = scratch.table(placed, "placed")
-    apart = placed.groupBy("key").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")
-    )
-    apart = scratch.table(apart.where("lo < hi").select("key", "rows"), "apart")
-    parts = F.ceil(F.col("rows") / block).cast("int")
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    cells = (
-        placed.join(apart, "key").withColumn("parts", parts).withColumn("part", part)
-        .join(classes.select("id", "n", "sketch"), "id")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+    links = verify(scratch.table(nearest, "pairs-0"), whole, words, percent, scratch, "links-0")
+    components = scratch.table(connected_components(links, scratch, "stars-0"), "components-0")
+    group = ["key", "low", "high"]
+    cells = _cells(met, components, classes, block, scratch, "cells")
+    members = cells.groupBy(*group).applyInArrow(_with_partner(percent, m), cells.schema)
+    members = scratch.table(members, "members")
+    ids = scratch.table(members.select("id").distinct(), "members-ids")
+    texts = scratch.table(rows_of(whole, ids, "id").dropDuplicates(["id"]), "members-texts")
+    more = members.join(texts, "id").groupBy(*group).applyInArrow(
+        _linked(percent, m, words), "a long, b long"
     )
-    more = cells.select("key", "low", "high", "part", "id", "component", "n", "sketch").groupBy(
-        "key", "low", "high"
-    ).applyInArrow(_apart(percent, LEAST_AGREEMENT), "a long, b long")
-    more = scratch.table(more.distinct(), "pairs-2")
-    again = verify(more, whole, words, percent, scratch, "second")
-    components = connected_components(links.union(again), scratch, "stars-2")
+    links = links.union(scratch.table(more.distinct(), "links-1"))
+    components = connected_components(links, scratch, "stars-1")
 
     known = classes.join(components, "id", "left").select(
         "n", "s1", "s2", F.coalesce("component", "id").alias("component")
