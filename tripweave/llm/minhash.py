@@ -47,6 +47,8 @@ WORDS = 1 << 18
 #: Share of minhashes that must agree before sets are fetched; of 60 at similarity 0.8, fewer
 #: agree once in 10^4.
 LEAST_AGREEMENT = 0.6
+#: A class in a cell: two parts of a bucket, and in which of them it is.
+PLACE = ["key", "t", "low", "high", "part", "id", "component"]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -166,12 +168,25 @@ def _cells(met: DataFrame, components: DataFrame, classes: DataFrame, block: int
     apart = apart.groupBy("rows", "x", "y").agg(F.min(F.struct("t", "key")).alias("k"))
     apart = scratch.table(apart.select("k.key", "rows"), f"{name}-apart")
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    return (
-        placed.join(apart, "key").withColumn("parts", F.ceil(F.col("rows") / block).cast("int"))
-        .withColumn("part", part).join(classes.select("id", "n", "a", "b", "sketch"), "id")
+    cells = (
+        _spread(placed.join(apart, "key"), ["id"], classes.select("id", "n", "a", "b", "sketch"))
+        .withColumn("parts", F.ceil(F.col("rows") / block).cast("int"))
+        .withColumn("part", part)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
-    ).select("key", "t", "low", "high", "part", "id", "component", "n", "a", "b", "sketch")
+    )
+    return cells.select(*PLACE, "n", "a", "b", "sketch")
+
+
+def _spread(places: DataFrame, by: list[str], wide: DataFrame) -> DataFrame:
+    """``places`` with the columns that ``wide`` has for their id.
+
+    The places of a class are listed before the join, one for each of the m x m tables at most,
+    so a wide row is joined once and not once for each bucket of its class.
+    """
+    each = [c for c in places.columns if c not in by]
+    lists = places.groupBy(*by).agg(F.collect_list(F.struct(*each)).alias("places"))
+    return lists.join(wide, "id").select(*by, *[c for c in wide.columns if c != "id"], F.inline("places"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
@@ -246,7 +261,7 @@ def _with_partner(percent: int, m: int):
             some, _ = cell.partners(x)
             if len(some):
                 wanted[some] = wanted[x] = True
-        return cell.rows.filter(pa.array(wanted))
+        return cell.rows.select(PLACE).filter(pa.array(wanted))
 
     return members
 
@@ -321,11 +336,15 @@ def near_duplicates(
     components = scratch.table(connected_components(links, scratch, "stars-0"), "components-0")
     group = ["key", "low", "high"]
     cells = _cells(met, components, classes, block, scratch, "cells")
-    members = cells.groupBy(*group).applyInArrow(_with_partner(percent, m), cells.schema)
-    members = scratch.table(members, "members")
+    place = cells.select(*PLACE).schema
+    members = scratch.table(
+        cells.groupBy(*group).applyInArrow(_with_partner(percent, m), place), "members"
+    )
     ids = scratch.table(members.select("id").distinct(), "members-ids")
-    texts = scratch.table(rows_of(whole, ids, "id").dropDuplicates(["id"]), "members-texts")
-    more = members.join(texts, "id").groupBy(*group).applyInArrow(
+    texts = rows_of(whole, ids, "id").dropDuplicates(["id"])
+    texts = texts.join(classes.select("id", "n", "a", "b", "sketch"), "id")
+    texts = scratch.table(texts, "members-texts")
+    more = _spread(members, ["id", "low", "high"], texts).groupBy(*group).applyInArrow(
         _linked(percent, m, words), "a long, b long"
     )
     links = links.union(scratch.table(more.distinct(), "links-1"))
