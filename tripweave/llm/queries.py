@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontamination, embed_dedup, html_text, minhash, mixing, pii, quality, token_counts,
-    token_records, warc,
+    decontamination, embed_dedup, grammar_runs, html_text, line_runs, minhash, mixing, pii, quality,
+    ranked_search, token_counts, token_records, warc,
 )
 
 #: The key of the registered query alone; a release takes one from where secrets are kept.
@@ -62,12 +62,57 @@ def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), words=4)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_runs.dedup_lines(_read(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("text"), 256).alias("kept_sha256")
+    return kept.select("doc_id", "n_lines", "n_dropped", digest)
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth document, by the CRC-32 of its id, made periodic from a word on."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    rows = rows.withColumn("w", F.when(F.col("h") % 10 == 0, words))
+    rows = rows.withColumns({"n": F.size("w"), "g": F.expr("h div 10")})
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    made = F.expr(
+        "array_join(transform(sequence(0, n - 1), i -> "
+        "get(w, cast(if(i < a, i, a + (i - a) % p) as int))), ' ')"
+    )
+    return rows.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_grammar_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = grammar_runs.periodic_runs(planted(_read(spark, sf_dir, "documents")))
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    # Greatest length / period exactly, then smallest start, then period.
+    first = F.expr(
+        "get(array_sort(runs, (x, y) -> case "
+        "when x.length * y.period > y.length * x.period then -1 "
+        "when x.length * y.period < y.length * x.period then 1 "
+        "when x.start < y.start then -1 when x.start > y.start then 1 "
+        "when x.period < y.period then -1 when x.period > y.period then 1 else 0 end), 0)"
+    )
+    return found.withColumn("best", first).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(listed, lambda r: F.concat(r, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("text"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_length_histogram, op2_token_records, op3_warc_index, op4_feistel_pseudonyms,
         op5_empirical_bayes, op6_wrapper_text, op7_hyperplane_dedup, op8_source_mix,
-        op9_template_decontamination, op10_tensored_minhash,
+        op9_template_decontamination, op10_tensored_minhash, op11_ranked_search, op12_line_dedup,
+        op13_grammar_runs,
     )
 }
 
@@ -180,7 +225,55 @@ SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sets JOIN least ON least.x = doc_id
 """
 
+_OP11 = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), asked AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY item_id, term
+), sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+total AS (SELECT count(*)::BIGINT AS all_docs, sum(n)::BIGINT AS all_terms FROM sizes),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * all_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tfs, total GROUP BY term, all_docs
+), scored AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * all_docs) // all_terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN sizes USING (doc_id), total
+  GROUP BY item_id, doc_id
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+  FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""
+
+_OP12 = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS place
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+), keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), repeated AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+  SELECT doc_id, place, line, coalesce(keeper <> doc_id, false) AS gone FROM keyed LEFT JOIN repeated USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
 ORACLE = {
     "op3_warc_index": _OP3, "op7_hyperplane_dedup": _OP7, "op8_source_mix": _OP8,
-    "op10_tensored_minhash": _OP10,
+    "op10_tensored_minhash": _OP10, "op11_ranked_search": _OP11, "op12_line_dedup": _OP12,
 }

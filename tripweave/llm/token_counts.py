@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, running_totals
-from .tokens import default_tokenizer, encode, units
+from .tokens import default_tokenizer, encoder
 
 
 def encoded_lengths(docs: DataFrame, text: str = "text", tokenizer: str | None = None) -> DataFrame:
@@ -26,11 +26,11 @@ def encoded_lengths(docs: DataFrame, text: str = "text", tokenizer: str | None =
     path = tokenizer or default_tokenizer()
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = units(path)
+        known = encoder(path)
         for batch in batches:
             found: dict[int, int] = {}
             for value in batch.column(0):
-                n = len(encode(value.as_py(), known)) // 4
+                n = len(known.encode(value.as_py())) // 4
                 found[n] = found.get(n, 0) + 1
             yield pa.RecordBatch.from_pydict(
                 {"n_tokens": pa.array(found, pa.int64()), "n_docs": pa.array(found.values(), pa.int64())}

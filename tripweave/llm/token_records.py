@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, running_totals, shuffle_partitions
-from .tokens import default_tokenizer, encode, units
+from .tokens import default_tokenizer, encoder
 
 HEAD = np.dtype([("id", "<i8"), ("has_id", "u1"), ("width", "u1"), ("zero", "V6")])
 INDEX = (
@@ -127,20 +127,26 @@ def _open(path: str):
 
 def write_records(
     docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
-    tokenizer: str | None = None, end_id: int = 0, width: int = 2,
+    tokenizer: str | None = None, end_id: int = 0, width: int | None = None,
 ) -> DataFrame:
     """Encode all documents into shards below ``path``; returns the committed index.
 
-    ``width`` is the number of bytes of a token id: 2 holds vocabularies up to 65,536 ids.
+    ``width`` is the number of bytes of a token id, 2 or 4: unless named, the least that holds
+    every id of the vocabulary. One that does not hold them is an error.
     """
-    vocabulary, kind = tokenizer or default_tokenizer(), f"<u{width}"
+    vocabulary = tokenizer or default_tokenizer()
+    largest = max(encoder(vocabulary).largest, end_id)
+    width = width or (2 if largest < 1 << 16 else 4)
+    if width not in (2, 4) or largest >= 1 << 8 * width:
+        raise ValueError(f"token ids up to {largest} do not fit {width} bytes")
+    kind = f"<u{width}"
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spread = F.xxhash64("text")
     placed = wanted.repartitionByRange(F.col("doc_id").asc_nulls_first(), spread)
     placed = placed.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), spread, "text")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = units(vocabulary), np.array([end_id], "<u4").tobytes()
+        known, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
         shard, out, offset, start = TaskContext.get().partitionId(), None, 0, 0
         name = f"{path}/records-{shard:07d}-{uuid.uuid4().hex}.bin"
 
@@ -175,7 +181,7 @@ def write_records(
                     system, place = _open(name)
                     system.create_dir(place.rsplit("/", 1)[0], recursive=True)
                     out = system.open_output_stream(place)
-                ids = encode(value.as_py(), known) + end
+                ids = known.encode(value.as_py()) + end
                 pending.append((doc_id, ids))
                 size += len(ids)
                 if size >= CHUNK:
