@@ -234,7 +234,7 @@ def shingles(text, k):
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
-@pytest.mark.parametrize("block", [4, 512])
+@pytest.mark.parametrize("block", [500, 1 << 18])
 def test_near_copies(spark, docs, none, block):
     rng = np.random.default_rng(9)
     base = [f"v{i}" for i in range(120)]
@@ -254,6 +254,11 @@ def test_near_copies(spark, docs, none, block):
     comp = components(len(rows), pairs)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(table, words=4, block=block).collect()}
     assert got == {rows[i][0]: (len(sets[i]), rows[comp[i]][0]) for i in range(len(rows))}
+    # Rows that share an id but not the text are documents of their own.
+    twice = [(1, rows[0][1]), (1, rows[-1][1]), (2, rows[-1][1]), (2, rows[-1][1]), (3, rows[0][1])]
+    judged = minhash.near_duplicates(spark.createDataFrame(twice, "doc_id long, text string"), words=4)
+    assert sorted((r.doc_id, r.component_id) for r in judged.collect()) == [(1, 1), (1, 1), (2, 1), (2, 1), (3, 1)]
+    assert sorted(r.doc_id for r in minhash.keep_one(spark.createDataFrame(twice, "doc_id long, text string")).collect()) == [1, 1]
     once = minhash.keep_one(docs, words=5)
     assert once.columns == docs.columns
     assert sorted((r.doc_id or 0) for r in once.collect()) == [0, 1, 4, 5, 6, 7, 9, 10]
