@@ -7,7 +7,7 @@ from tripweave.functions.rules import NO_TIME_COLOUR, TIME_COLOURS
 from tripweave.operators import hex_travel as hx
 
 
-@pytest.mark.parametrize("k,cells", [(0, 1), (1, 7), (10, 331), (50, 7651)])
+@pytest.mark.parametrize("k,cells", [(0, 1), (1, 7), (10, 331), (50, 7651), (51, 7957)])
 def test_disk_sizes(spark, k, cells):
     start = spark.createDataFrame([("h_3_-2", 3, -2)], "hex_id string, q int, r int")
     disk = hx.hex_disk(start, k)
@@ -18,7 +18,7 @@ def test_disk_sizes(spark, k, cells):
 
 def test_ring_range_is_checked(spark):
     with pytest.raises(ValueError):
-        hx.hex_disk(spark.createDataFrame([], "hex_id string, q int, r int"), 51)
+        hx.hex_disk(spark.createDataFrame([], "hex_id string, q int, r int"), -1)
 
 
 @pytest.fixture(scope="module")

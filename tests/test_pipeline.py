@@ -12,7 +12,7 @@ from tripweave.operators.trajectory import HotTrips, drop_outlier_trips, find_ho
 from tripweave.plans import pipeline
 from tripweave.session import shared_dir, size_shuffle
 from tripweave.sources import readers, sample_inputs
-from tripweave.sources.stages import read_stage, write_stage
+from tripweave.sources.stages import read_stage
 
 
 @pytest.fixture(scope="module")
@@ -70,27 +70,12 @@ def test_pipeline_twice_gives_the_same(spark, stored, sf_dir, tmp_path):
     first = pipeline.run_pipeline(spark, inputs, str(tmp_path))
     names = [n for n in first if n not in ("country_cover", "countries")]
     before = {n: rows(first[n].drop("addresses")) for n in names}
+    assert before["hgv_parkings"] and before["retail_stores"]
     assert len(before["points_mode"]) == len(before["points_clean"])
     pipeline.run_pipeline(spark, inputs, str(tmp_path))
     assert {n: rows(read_stage(spark, str(tmp_path), n).drop("addresses")) for n in names} == before
 
 
-def test_stage_does_not_replace_its_input(spark, tmp_path):
-    root = str(tmp_path)
-    stage = write_stage(spark.range(5), root, "numbers")
-    with pytest.raises(ValueError, match="numbers"):
-        write_stage(stage.filter("id > 1"), root, "numbers")
-    assert read_stage(spark, root, "numbers").count() == 5
-    assert write_stage(spark.range(3), root, "numbers").count() == 3
-
-
-def test_clustered_stage_is_sorted_over_files(spark, tmp_path):
-    df = spark.range(1000).selectExpr("cast(id * 7919 % 1000 AS int) AS k")
-    stage = write_stage(df, str(tmp_path), "sorted", ["k"])
-    spans = stage.selectExpr("k", "input_file_name() AS f").groupBy("f").agg({"k": "min"}).count()
-    assert spans >= 1 and stage.count() == 1000
-
-
 def test_shared_folder_is_read_from_the_session(spark):
     folder = shared_dir(spark)
     assert folder and shared_dir(spark) == folder
@@ -139,11 +124,10 @@ def test_hot_trips_never_meet_in_one_task(spark, sf_dir):
     assert "NestedLoop" not in text and "CartesianProduct" not in text
 
 
-def test_point_join_is_an_equi_join(spark, sf_dir):
+def test_point_join_is_an_equi_join(spark, stored, sf_dir):
     points = sample_inputs.gps_points(spark, sf_dir)
-    countries = pipeline.build_countries(
-        sample_inputs.division_area(spark, sf_dir), sample_inputs.country_reference(spark, sf_dir)
-    )
+    areas = readers.read_divisions(spark, f"{stored}/divisions")
+    countries = pipeline.build_countries(areas, sample_inputs.country_reference(spark, sf_dir))
     text = plan(pipeline.points_country(points, countries))
     assert "BroadcastHashJoin [_ci" in text
     assert "NestedLoop" not in text and "CartesianProduct" not in text

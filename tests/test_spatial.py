@@ -2,6 +2,7 @@
 
 import math
 import random
+import uuid
 from fractions import Fraction
 
 import pytest
@@ -89,21 +90,26 @@ def shapes(seed, count=12):
     return out
 
 
+def stored(spark, df, tmp_path):
+    path = f"{tmp_path}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def test_boundary_of_a_square(spark):
     cases = [(2.0, 2.0, 1), (0.0, 2.0, 0), (2.0, 4.0, 0), (0.0, 0.0, 0), (4.0, 4.0, 0),
              (5.0, 2.0, -1), (-1.0, 0.0, -1), (-1.0, 4.0, -1), (5.0, 4.0, -1)]
     df = spark.createDataFrame([(x, y, SQUARE) for x, y, _ in cases],
                                "x double, y double, g array<array<array<double>>>")
     got = df.select(
-        "x", "y", geo.point_within(F.col("x"), F.col("y"), F.col("g")).alias("w"),
-        geo.point_intersects(F.col("x"), F.col("y"), F.col("g")).alias("i"),
+        "x", "y", geo.point_within(F.col("x"), F.col("y"), F.col("g"), geo.PLANE).alias("w"),
+        geo.point_intersects(F.col("x"), F.col("y"), F.col("g"), geo.PLANE).alias("i"),
     ).collect()
     assert [(r.w, r.i) for r in got] == [(c == 1, c >= 0) for *_, c in cases]
 
 
-@pytest.mark.parametrize("cell", [0.5, 2.0])
-@pytest.mark.parametrize("row_limit", [0, 10**9])
-def test_point_joins_equal_brute_force(spark, cell, row_limit):
+@pytest.mark.parametrize(("leaf_edges", "max_level"), [(0, 7), (2, 14), (16, 14)])
+def test_point_joins_equal_brute_force(spark, leaf_edges, max_level, tmp_path):
     r = random.Random(7)
     polys = shapes(1)
     # Random points, points of a lattice that hits cell borders, and corners of the polygons.
@@ -113,30 +119,32 @@ def test_point_joins_equal_brute_force(spark, cell, row_limit):
     points = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pts)],
                                    "pid long, lng double, lat double")
     areas = spark.createDataFrame(list(polys.items()), SHAPES).withColumn("name", F.col("id"))
-    grid = cover(areas, cell, row_limit=row_limit)
+    grid = cover(areas, surface=geo.PLANE, leaf_edges=leaf_edges, max_level=max_level)
+    grid = stored(spark, grid, tmp_path)
     where = {(i, n): locate(x, y, g) for i, (x, y) in enumerate(pts) for n, g in polys.items()}
     for join, least in ((join_within, 1), (join_intersects, 0)):
-        got = rows(join(points, areas, "inner", cell_degrees=cell, grid=grid), "pid", "name")
+        got = rows(join(points, areas, "inner", grid=grid, surface=geo.PLANE), "pid", "name")
         assert got == sorted((k for k, v in where.items() if v >= least), key=repr)
-    left = rows(join_within(points, areas, "left", cell_degrees=cell, grid=grid), "pid", "name")
+    left = rows(join_within(points, areas, "left", grid=grid, surface=geo.PLANE), "pid", "name")
     alone = {i for i in range(len(pts))} - {i for (i, _), v in where.items() if v == 1}
     assert {p for p, n in left if n is None} == alone
 
 
-def test_salted_join_equals_broadcast_join(spark):
+def test_salted_join_equals_broadcast_join(spark, tmp_path):
     r = random.Random(9)
     # A third of the points share one cell.
     pts = [(i, *(2.1, 2.2)) if i % 3 == 0 else (i, r.uniform(-3, 9), r.uniform(-3, 9))
            for i in range(300)]
     points = spark.createDataFrame(pts, "pid long, lng double, lat double")
     areas = spark.createDataFrame(list(shapes(2).items()), SHAPES).withColumn("name", F.col("id"))
-    small = rows(join_within(points, areas))
-    assert rows(join_within(points, areas, limit=0)) == small
+    grid = stored(spark, cover(areas), tmp_path)
+    small = rows(join_within(points, areas, grid=grid))
+    assert rows(join_within(points, areas, grid=grid, limit=0)) == small
     assert len(small) >= 300
 
 
-@pytest.mark.parametrize("row_limit", [0, 10**9])
-def test_polygon_pairs_equal_brute_force(spark, row_limit):
+@pytest.mark.parametrize(("left_leaf", "right_leaf"), [(16, 16), (1, 4), (4, 0)])
+def test_polygon_pairs_equal_brute_force(spark, left_leaf, right_leaf, tmp_path):
     polys = shapes(4, 14)
     polys["cross"] = [[[-1.0, 1.8], [9.0, 1.8], [9.0, 2.2], [-1.0, 2.2], [-1.0, 1.8]]]
     polys["in_hole"] = [[[1.5, 1.5], [2.5, 1.5], [2.5, 2.5], [1.5, 2.5], [1.5, 1.5]]]
@@ -145,11 +153,13 @@ def test_polygon_pairs_equal_brute_force(spark, row_limit):
     polys["around"] = [[[-9.0, -9.0], [9.5, -9.0], [9.5, 9.0], [-9.0, 9.0], [-9.0, -9.0]]]
     df = spark.createDataFrame(list(polys.items()), SHAPES)
     want = sorted((a, b) for a in polys for b in polys if meet(polys[a], polys[b]))
-    grid = cover(df, 0.5, row_limit=row_limit)
-    method = "row" if row_limit else "auto"
-    assert rows(intersecting_pairs(df, df, left_method=method, right_grid=grid)) == want
+    left, right = (
+        stored(spark, cover(df, surface=geo.PLANE, leaf_edges=n, max_level=8), tmp_path)
+        for n in (left_leaf, right_leaf)
+    )
+    assert rows(intersecting_pairs(df, df, left_grid=left, right_grid=right)) == want
     direct = df.alias("a").join(
-        df.alias("b"), geo.polygons_intersect(F.col("a.geometry"), F.col("b.geometry"))
+        df.alias("b"), geo.polygons_intersect(F.col("a.geometry"), F.col("b.geometry"), geo.PLANE)
     ).select(F.col("a.id").alias("l"), F.col("b.id").alias("r"))
     assert rows(direct) == want
 
@@ -162,6 +172,10 @@ def test_pair_over_many_cells_is_one_row(spark):
 
 
 def test_missing_position_stays_in_a_left_join(spark):
-    points = spark.createDataFrame([(1, None, 2.0), (2, 2.0, 2.0)], "pid long, lng double, lat double")
+    odd = [None, math.nan, math.inf, -math.inf]
+    places = [(2, 2.0, 2.0)] + [(10 + i, x, 2.2) for i, x in enumerate(odd)] + [(20 + i, 2.2, y) for i, y in enumerate([*odd, 91.0])]
+    points = spark.createDataFrame(places, "pid long, lng double, lat double")
     areas = spark.createDataFrame([("square", SQUARE)], SHAPES).withColumn("name", F.col("id"))
-    assert rows(join_within(points, areas), "pid", "name") == [(1, None), (2, "square")]
+    want = sorted([(p, "square" if p == 2 else None) for p, _, _ in places], key=repr)
+    assert rows(join_within(points, areas), "pid", "name") == want
+    assert rows(join_intersects(points, areas), "pid", "name") == [(2, "square")]

@@ -1,34 +1,12 @@
 """Percentiles, trip statistics and the mode ladder."""
 
-import random
-
-import numpy as np
 import pytest
 from frames import at, rows
 
-from tripweave.operators.percentiles import exact_percentiles
 from tripweave.operators.trajectory import find_hot_trips
 from tripweave.operators.trips import attach_trip_mode, classify_trips, trip_modes, trip_statistics
 
 
-@pytest.mark.parametrize("width", [0.01, 0.5, 100.0])
-def test_percentiles_equal_numpy(spark, width):
-    r = random.Random(3)
-    values = {
-        "one": [5.5], "two": [1.0, 2.0], "same": [0.0] * 50,
-        "many": [r.choice([0.0, r.random() * 150, float(r.randrange(9))]) for _ in range(501)],
-        "signed": [r.uniform(-20, 20) for _ in range(40)],
-    }
-    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in [*vs, None]],
-                               "k string, v double")
-    wanted = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p100": 1.0}
-    got = {r.k: r for r in exact_percentiles(df, ["k"], "v", wanted, width).collect()}
-    assert set(got) == set(values)
-    for k, vs in values.items():
-        for name, p in wanted.items():
-            assert got[k][name] == pytest.approx(np.percentile(vs, 100 * p), abs=1e-9), (k, name)
-
-
 def speeds(spark, trips):
     data = [(u, t, s, at(i)) for (u, t), values in trips.items() for i, s in enumerate(values)]
     return spark.createDataFrame(

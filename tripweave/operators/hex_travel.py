@@ -11,12 +11,11 @@ from ..functions.rules import time_band
 from .joins import BROADCAST_BYTES, join_lookup
 
 RINGS = 10
-MAX_RINGS = 50
 
 
 def _check(k: int) -> None:
-    if not 0 <= k <= MAX_RINGS:
-        raise ValueError(f"number of rings must be 0 to {MAX_RINGS}")
+    if k < 0:
+        raise ValueError("number of rings must be 0 or more")
 
 
 def hex_disk(cells: DataFrame, k: int = RINGS) -> DataFrame:

@@ -1,8 +1,8 @@
 """Joins that hold when one key owns a large part of all rows.
 
-Two tools. :func:`join_lookup` broadcasts a side whose size was measured to be small and
-otherwise spreads the hot keys of an ordinary shuffle join with a salt. Trips that hold too
-many points are cut by time in :mod:`tripweave.operators.trajectory`.
+Two tools. :func:`join_lookup` broadcasts a side whose size was measured to be small; otherwise
+it finds the hot keys by a sketch and spreads these, and only these, with a salt. Trips that hold
+too many points are cut by time in :mod:`tripweave.operators.trajectory`.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 
 BROADCAST_BYTES = 128 * 1024 * 1024
 SALTS = 32
+#: A key is hot if it has more than one row in so many; a sketch of this many counters names it.
+HOT_SHARE = 1000
+_COUNTERS = 16 * HOT_SHARE
 
 
 def _bytes_of(value: Column, kind: T.DataType) -> Column:
@@ -53,6 +56,19 @@ def row_salt(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not isinstance(f.dataType, nested)]
 
 
+def hot_keys(df: DataFrame, on: Sequence[str], share: int = HOT_SHARE) -> list[int]:
+    """Hashes of the keys that more than one row in ``share`` has: at most ``share`` of them.
+
+    One pass over the keys with a frequent-items sketch, merged from all tasks. It misses no such
+    key; one that is a little less frequent may be named, too, which costs copies but no row.
+    """
+    known = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in on)).select(F.xxhash64(*on).alias("h"))
+    top = F.expr(f"approx_top_k(h, {share}, {_COUNTERS})")
+    row = known.agg(F.count(F.lit(1)).alias("n"), top.alias("top")).first()
+    # An estimate can be too high by the rows over the counters.
+    return [t["item"] for t in row["top"] or [] if t["count"] * share > row["n"]]
+
+
 def join_lookup(
     left: DataFrame,
     right: DataFrame,
@@ -63,14 +79,16 @@ def join_lookup(
     salt_by: Sequence[str] | None = None,
     limit: int = BROADCAST_BYTES,
     salts: int = SALTS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Join the large ``left`` to a ``right`` that is usually small, on equal key columns.
 
-    ``right`` is broadcast when its measured size is within ``limit`` bytes. Beyond that it is
-    copied once per salt, the rows of ``left`` get a salt from ``salt_by`` (all atomic columns
-    unless named), and both sides shuffle by key and salt, so a key that owns a third of
-    ``left`` is spread over ``salts`` partitions; adaptive execution splits what is still
-    large. ``condition`` is an extra predicate over columns of both sides that takes part in
+    ``right`` is broadcast when its measured size is within ``limit`` bytes, or as ``small`` says.
+    Beyond that both sides shuffle by key and salt. Only hot keys of ``left`` have salts, made
+    from ``salt_by`` (all atomic columns unless named), and only their rows of ``right`` are
+    copied once per salt, so a key that owns a third of ``left`` is spread over ``salts``
+    partitions and ``right`` does not grow; so are rows of ``left`` with a NULL key, which match
+    nothing. ``condition`` is an extra predicate over columns of both sides that takes part in
     the match, so a left join keeps rows it rejects.
 
     The result has the columns of ``left``, then those of ``right`` without the keys.
@@ -85,12 +103,19 @@ def join_lookup(
     if condition is not None:
         match = match & condition
     extra = [c for c in right.columns if c not in on] if how in ("left", "inner") else []
-    if fits_broadcast(right, limit):
+    if fits_broadcast(right, limit) if small is None else small:
         joined = left.join(F.broadcast(keyed), match, how)
     else:
+        hot = hot_keys(left, on)
         names = salt_by or row_salt(left)
         salt = F.pmod(F.xxhash64(*names), F.lit(salts)).cast("int")
-        salted = left.withColumn("_l_salt", salt)
-        copies = keyed.withColumn("_r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        none = F.lit(False)
+        for k in on:
+            none = none | F.col(k).isNull()
+        is_hot = F.xxhash64(*on).isin(hot) if hot else F.lit(False)
+        salted = left.withColumn("_l_salt", F.when(none | is_hot, salt).otherwise(F.lit(0)))
+        is_hot = F.xxhash64(*[f"_r_{k}" for k in on]).isin(hot) if hot else F.lit(False)
+        own = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        copies = keyed.withColumn("_r_salt", F.explode(own))
         joined = salted.join(copies, match & (F.col("_l_salt") == F.col("_r_salt")), how)
     return joined.select(*left.columns, *extra)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nested import path_str, tag_list
 from ..functions.rules import RETAIL_CATEGORIES, canonical_brand
-from .spatial_join import CELL_DEGREES, join_intersects, join_polygons
+from .spatial_join import join_intersects, join_polygons
 
 # Tag key and tag values that mark a parking for trucks.
 TRUCK_TAG = "hgv"
@@ -26,7 +26,6 @@ def explode_tags(df: DataFrame, tags: str = "source_tags") -> DataFrame:
 def hgv_parkings(
     infrastructure: DataFrame,
     countries: DataFrame,
-    cell_degrees: float = CELL_DEGREES,
     grid: DataFrame | None = None,
 ) -> DataFrame:
     """Truck parking areas, one row per parking, country it meets and matching tag."""
@@ -44,8 +43,7 @@ def hgv_parkings(
         areas.select("id", "geometry", matching.alias("_tags")).filter(F.size("_tags") > 0)
     )
     joined = join_polygons(
-        trucks, countries.select("id", "geometry", "english_name"),
-        cell_degrees=cell_degrees, left_method="row", right_grid=grid,
+        trucks, countries.select("id", "geometry", "english_name"), right_grid=grid,
     )
     return joined.withColumn("_tag", F.explode("_tags")).select("id", "english_name", "geometry")
 
@@ -54,7 +52,6 @@ def retail_stores(
     places: DataFrame,
     countries: DataFrame,
     country_name: str = "Germany",
-    cell_degrees: float = CELL_DEGREES,
     grid: DataFrame | None = None,
 ) -> DataFrame:
     """Stores of known brands in the named country."""
@@ -66,7 +63,7 @@ def retail_stores(
         F.col("canonical_name").isNotNull() & F.col("category").isin(RETAIL_CATEGORIES)
     )
     area = countries.filter(F.col("english_name") == country_name).select("id", "geometry")
-    found = join_intersects(stores, area, "inner", cell_degrees=cell_degrees, grid=grid)
+    found = join_intersects(stores, area, "inner", grid=grid)
     return found.select(
         "id", "store_name", "category", "lng", "lat", "addresses", "canonical_name"
     )

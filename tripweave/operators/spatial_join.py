@@ -1,192 +1,148 @@
-"""Spatial joins by a grid of square cells.
-
-Polygons are turned into a *cover*: one row per polygon and cell it touches. A cell no edge
-touches lies wholly inside and needs no test. A cell on the boundary carries only the edges
-that touch it, and whether one fixed point of the cell, its centre, is inside. A point is then
-inside when an odd number of these local edges is crossed on the way to the centre (first
-along its latitude, then along the centre's longitude), so the cost of a test depends on the
-edges in one cell and not on those of a whole country.
-
-A point has one cell and a polygon each cell once: point joins need no duplicate removal.
+"""Spatial joins by a quad tree of cells.
+
+Polygons are turned into a *cover*: one row per polygon and cell. Cells come in levels, each level
+halves the side of the one before; a cell is cut into its four quarters while it holds more than a
+few edges, so the inside of a country is a few large cells and only its border has small ones.
+Rows carry their level, so a cover says itself how large its cells are. A cell that no edge
+touches lies wholly inside and needs no test. A cell on the boundary carries the edges that touch
+it, and whether one fixed point of it, its centre, is inside: found from the centre of the cell it
+was cut from by the edges on the way, so one rule decides for polygons of any size. A point is
+inside when the side of the centre changes an even number of times on the way to it, so a test
+costs the edges of one cell and not those of a country.
+
+Points are joined level by level. All rows of a cell are one list, and each join adds at most one
+list to a point, so points are never multiplied before the test, and a polygon has each place
+once: point joins need no duplicate removal.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo
-from .joins import join_lookup
+from ..functions import geo, quadtree
+from ..session import ship
+from .joins import join_lookup, measured_bytes
 
-CELL_DEGREES = 0.5
+#: The last level: cells of five thousandths of a degree.
+MAX_LEVEL = 14
+#: Cells with more edges than this are cut, up to the last level.
+LEAF_EDGES = 16
 # A cover is broadcast up to this measured size: larger than other tables, because the
 # alternative shuffles all points. It grows with the polygons, not with the points.
 COVER_BROADCAST_BYTES = 512 * 1024 * 1024
 
-# The centre is taken a little off the middle, where polygons of round numbers have no corner.
-_CENTRE_X, _CENTRE_Y = 0.5137, 0.4863
-# Cells are taken this much larger when looking for edges, against rounding at their border.
-_MARGIN = 1e-9
-# A polygon with at most this many (cells of its box) x (edges) is covered by testing each
-# edge against each cell, in its own row; a larger one by following its edges.
-ROW_COVER_LIMIT = 20_000
-
-
-def cell_of(degrees: Column, size: float) -> Column:
-    return F.floor(degrees / F.lit(size)).cast("long")
-
-
-def _low(cell: Column, size: float) -> Column:
-    return (cell - F.lit(_MARGIN)) * F.lit(size)
 
+def side_of(level: Column | int) -> Column:
+    """Degrees of a cell's side; exact, as all sides are powers of two."""
+    level = F.lit(level) if isinstance(level, int) else level
+    return F.lit(quadtree.BASE_DEGREES) / F.pow(F.lit(2e0), level.cast("double"))
 
-def _high(cell: Column, size: float) -> Column:
-    return (cell + F.lit(1 + _MARGIN)) * F.lit(size)
 
-
-def _centre_x(ci: Column, size: float) -> Column:
-    return (ci + F.lit(_CENTRE_X)) * F.lit(size)
-
-
-def _centre_y(cj: Column, size: float) -> Column:
-    return (cj + F.lit(_CENTRE_Y)) * F.lit(size)
-
-
-def _edge_in_cell(e: Column, ci: Column, cj: Column, size: float) -> Column:
-    return geo.edge_meets_box(
-        e, _low(ci, size), _low(cj, size), _high(ci, size), _high(cj, size)
+def cell_of(x: Column, y: Column, level: Column | int) -> tuple[Column, Column]:
+    """The cell of a position; the last longitude and latitude belong to the last cells."""
+    most = F.lit(quadtree.BASE_DEGREES) / side_of(level)
+    return tuple(
+        F.least(F.floor(v / side_of(level)), most * cells - 1).cast("long") for v, cells in ((x, 2), (y, 1))
     )
 
 
-def _cells_between(low: Column, high: Column, size: float) -> Column:
-    margin = F.lit(_MARGIN * size)
-    return F.sequence(cell_of(low - margin, size), cell_of(high + margin, size))
-
+def _centre(level: Column, ci: Column, cj: Column) -> tuple[Column, Column]:
+    side = side_of(level)
+    return (ci + F.lit(quadtree.CENTRE_X)) * side, (cj + F.lit(quadtree.CENTRE_Y)) * side
 
-def _apart(**columns: Column) -> Column:
-    """Columns computed once, in an operator of their own.
 
-    Several uses of a costly column would otherwise each get a copy of its expression when the
-    optimizer merges projections and pushes filters down.
-    """
-    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
-
-
-def _cover_by_row(shapes: DataFrame, size: float) -> DataFrame:
-    """Cover of polygons with few cells and edges, each from its own row: no shuffle."""
-    cells = shapes.withColumn(
-        "ci", F.explode(_cells_between(F.col("_xmin"), F.col("_xmax"), size))
-    ).withColumn("cj", F.explode(_cells_between(F.col("_ymin"), F.col("_ymax"), size)))
-    local = F.filter("_edges", lambda e: _edge_in_cell(e, F.col("ci"), F.col("cj"), size))
-    centre = geo.in_edges(
-        F.col("_edges"), _centre_x(F.col("ci"), size), _centre_y(F.col("cj"), size)
-    )
-    return (
-        cells.select("id", "ci", "cj", _apart(centre_in=centre, edges=local))
-        .filter((F.size("edges") > 0) | F.col("centre_in"))
-        .withColumn("edges", F.when(F.size("edges") > 0, F.col("edges")))
-    )
+def _in_cell(e: Column, level: Column, ci: Column, cj: Column) -> Column:
+    side = side_of(level)
+    return geo.edge_meets_box(e, ci * side, cj * side, (ci + 1) * side, (cj + 1) * side)
 
 
-def _cover_by_edges(shapes: DataFrame, size: float) -> DataFrame:
-    """Cover of large polygons: work follows the length of the boundary and the cells inside."""
-    edges = shapes.select("id", F.explode("_edges").alias("e"))
-    e = F.col("e")
-    x_low, x_high = F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])
-    y_low, y_high = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
-    border = (
-        edges.withColumn("ci", F.explode(_cells_between(x_low, x_high, size)))
-        .withColumn("cj", F.explode(_cells_between(y_low, y_high, size)))
-        .filter(_edge_in_cell(e, F.col("ci"), F.col("cj"), size))
-        # At most the edges of one polygon, which came in as one value.
-        .groupBy("id", "ci", "cj")
-        .agg(F.collect_list("e").alias("edges"))
-    )
-    # Where edges cross the line through the centres of a row of cells, pairs of crossings
-    # bound the stretches that lie inside.
-    row_y = _centre_y(F.col("cj"), size)
-    crossings = (
-        edges.withColumn("cj", F.explode(F.sequence(cell_of(y_low, size), cell_of(y_high, size))))
-        .filter(geo.spans_y(e, row_y))
-        .select(
-            "id", "cj",
-            (e["x1"] + (row_y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])).alias("x"),
-        )
-    )
-    along = Window.partitionBy("id", "cj").orderBy("x")
-    stretches = crossings.withColumns({
-        "n": F.row_number().over(along), "x_end": F.lead("x").over(along),
-    }).filter((F.col("n") % 2 == 1) & F.col("x_end").isNotNull())
-    first = F.ceil(F.col("x") / F.lit(size) - F.lit(_CENTRE_X)).cast("long")
-    last = (F.ceil(F.col("x_end") / F.lit(size) - F.lit(_CENTRE_X)) - 1).cast("long")
-    inside = (
-        stretches.withColumns({"_first": first, "_last": last})
-        .filter(F.col("_first") <= F.col("_last"))
-        .select("id", "cj", F.explode(F.sequence("_first", "_last")).alias("ci"))
-        .withColumn("centre_in", F.lit(True))
-    )
-    return inside.join(border, ["id", "ci", "cj"], "full_outer").select(
-        "id", "ci", "cj", F.coalesce("centre_in", F.lit(False)).alias("centre_in"), "edges"
-    )
+EDGE = (
+    "struct<ax:double,ay:double,xl:double,yl:double,xr:double,yr:double,first:boolean,"
+    "nx:double,ny:double,nz:double,past:boolean>"
+)
 
 
 def cover(
     polygons: DataFrame,
-    cell_degrees: float = CELL_DEGREES,
     *,
     id_column: str = "id",
     geometry: str = "geometry",
-    method: str = "auto",
-    row_limit: int = ROW_COVER_LIMIT,
+    surface: str = geo.SPHERE,
+    leaf_edges: int = LEAF_EDGES,
+    max_level: int = MAX_LEVEL,
 ) -> DataFrame:
-    """``(id, ci, cj, centre_in, edges)``; ``edges`` is NULL where the cell lies wholly inside.
+    """``(id, level, ci, cj, cy, centre_in, edges)``; ``edges`` is NULL in cells wholly inside.
 
-    Polygon ids must be unique. ``method="row"`` covers each polygon within its row, right for
-    small ones; ``"auto"`` does so up to ``row_limit`` and follows the edges of larger ones.
+    ``cy`` is the latitude of the cell's centre; an edge has besides its fields ``past``, on which
+    side it passes the centre. Polygon ids must be unique. Longitudes are cut at the date line.
+    Cells are cut polygon by polygon where the polygons are, in Arrow batches: cutting recurses,
+    which no expression does. Nothing is shuffled.
     """
-    shapes = polygons.select(
-        F.col(id_column).alias("id"), _apart(_edges=geo.edges(F.col(geometry)))
-    ).filter(F.size("_edges") > 0)
-    shapes = shapes.withColumns({
-        f"_{axis}{name}": pick(F.transform("_edges", lambda e: both(e[f"{axis}1"], e[f"{axis}2"])))
-        for axis in "xy"
-        for name, pick, both in (("min", F.array_min, F.least), ("max", F.array_max, F.greatest))
-    })
-    if method == "row":
-        return _cover_by_row(shapes, cell_degrees)
-    cells = F.lit(1e0)
-    for axis in "xy":
-        span = (F.col(f"_{axis}max") - F.col(f"_{axis}min")) / F.lit(cell_degrees)
-        cells = (F.floor(span) + 2) * cells
-    small = F.size("_edges") * cells <= F.lit(float(row_limit))
-    return _cover_by_row(shapes.filter(small), cell_degrees).unionByName(
-        _cover_by_edges(shapes.filter(~small), cell_degrees)
+    ship(polygons.sparkSession)
+    shapes = polygons.select(F.col(id_column).alias("id"), F.col(geometry).alias("geometry"))
+    kind = shapes.schema["id"].dataType.simpleString()
+    schema = (
+        f"id {kind}, level int, ci long, cj long, cy double, centre_in boolean, edges array<{EDGE}>"
     )
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, rings in enumerate(batch.column(1)):
+                shape = quadtree.Polygon(rings.as_py() or [], surface)
+                cells = shape.cells(leaf_edges, max_level)
+                if cells:
+                    yield _cell_rows(batch.column(0), row, shape, cells)
+
+    return shapes.mapInArrow(cut, schema)
+
+
+def _cell_rows(ids: pa.Array, row: int, shape: quadtree.Polygon, cells: list) -> pa.RecordBatch:
+    level, ci, cj, centre_in, local = zip(*cells)
+    sizes = quadtree.BASE_DEGREES / 2.0 ** np.array(level)
+    cx, cy = (np.array(ci) + quadtree.CENTRE_X) * sizes, (np.array(cj) + quadtree.CENTRE_Y) * sizes
+    counts = np.array([len(some) for some in local])
+    edges = np.concatenate(local)
+    past = [shape.above(some, x, y, y) for some, x, y in zip(local, cx, cy)]
+    fields = []
+    for name in quadtree.FIELDS:
+        values = shape.edges[name][edges]
+        none = np.isnan(values) if name in ("nx", "ny", "nz") else None
+        fields.append(pa.array(values, mask=none))
+    fields.append(pa.array(np.concatenate(past).astype(bool)))
+    flat = pa.StructArray.from_arrays(fields, [*quadtree.FIELDS, "past"])
+    # A list without edges is NULL: such a cell lies wholly inside.
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32(), mask=np.append(counts == 0, False))
+    return pa.RecordBatch.from_arrays(
+        [
+            ids.take(pa.array([row] * len(cells))), pa.array(level, pa.int32()), pa.array(ci, pa.int64()),
+            pa.array(cj, pa.int64()), pa.array(cy), pa.array(centre_in, pa.bool_()),
+            pa.ListArray.from_arrays(offsets, flat),
+        ],
+        ["id", "level", "ci", "cj", "cy", "centre_in", "edges"],
+    )
 
-def _crosses(e: Column, x: Column, y: Column, cx: Column, cy: Column) -> Column:
-    """The edge is crossed an odd number of times on the way from a point to the centre.
 
-    The corner of the way, (cx, y), has the same side in both terms: no edge is lost or counted
-    twice there.
-    """
-    here, corner, centre = (geo.side(e, px, py) > 0 for px, py in ((x, y), (cx, y), (cx, cy)))
-    along = geo.spans_y(e, y) & (here != corner)
-    across = geo.spans_x(e, cx) & (corner != centre)
-    return along != across
-
-
-def _inside_cell(lng: Column, lat: Column, size: float, closed: bool) -> Column:
-    """Point test against one cover row, whose cell the point is in."""
-    edges = F.col("_c_edges")
-    cx, cy = _centre_x(F.col("_c_ci"), size), _centre_y(F.col("_c_cj"), size)
-    crossed = F.filter(edges, lambda e: _crosses(e, lng, lat, cx, cy))
-    inside = F.col("_c_centre_in") != geo.odd(crossed)
-    on_edge = geo.on_edges(edges, lng, lat)
+def _turned(edges: Column, x: Column, y: Column, cy: Column) -> Column:
+    """The side changes on the way from the point to the centre of the edges' cell."""
+    return geo.odd(F.filter(edges, lambda e: geo.above(e, x, y, cy) != e["past"]))
+
+
+def _inside(cell: Column, lng: Column, lat: Column, closed: bool) -> Column:
+    """Point test against one row of the cover, whose cell the point is in."""
+    inside = cell["centre_in"] != _turned(cell["edges"], lng, lat, cell["cy"])
+    on_edge = geo.on_edges(cell["edges"], lng, lat)
     exact = (inside | on_edge) if closed else (inside & ~on_edge)
-    return F.when(edges.isNull(), F.lit(True)).otherwise(exact)
+    return F.when(cell["edges"].isNull(), F.lit(True)).otherwise(exact)
+
+
+def levels_of(grid: DataFrame) -> list[int]:
+    """The levels a cover has, at most ``MAX_LEVEL`` + 1."""
+    return sorted(r["level"] for r in grid.select("level").distinct().collect())
 
 
 def _join_points(
@@ -198,28 +154,43 @@ def _join_points(
     lat: str,
     id_column: str,
     geometry: str,
-    cell_degrees: float,
     grid: DataFrame | None,
+    surface: str,
     limit: int,
 ) -> DataFrame:
     values = [c for c in polygons.columns if c not in (geometry, id_column)]
     if grid is None:
-        grid = cover(polygons, cell_degrees, id_column=id_column, geometry=geometry)
+        grid = cover(polygons, id_column=id_column, geometry=geometry, surface=surface)
     named = polygons.select(
-        F.col(id_column).alias("id"), *[F.col(c).alias(f"_v_{c}") for c in values]
+        F.col(id_column).alias("id"), F.struct(F.lit(True).alias("_here"), *values).alias("values")
     )
     grid = grid.join(named, "id").select(
-        F.col("ci").alias("_ci"), F.col("cj").alias("_cj"),
-        F.col("ci").alias("_c_ci"), F.col("cj").alias("_c_cj"),
-        F.col("centre_in").alias("_c_centre_in"), F.col("edges").alias("_c_edges"),
-        *[f"_v_{c}" for c in values],
+        "level", "ci", "cj", F.struct("cy", "centre_in", "edges", "values").alias("_cell")
     )
-    celled = points.withColumns({
-        "_ci": cell_of(F.col(lng), cell_degrees), "_cj": cell_of(F.col(lat), cell_degrees),
-    })
-    test = _inside_cell(F.col(lng), F.col(lat), cell_degrees, closed)
-    joined = join_lookup(celled, grid, ["_ci", "_cj"], how, condition=test, limit=limit)
-    return joined.select(*points.columns, *[F.col(f"_v_{c}").alias(c) for c in values])
+    small = measured_bytes(grid) <= limit
+    # What is no position is in no cell. Longitudes beyond the date line are the same places on
+    # the sphere, and nowhere on the plane.
+    turn = F.pmod(F.col(lng) + F.lit(180e0), F.lit(360e0)) - F.lit(180e0)
+    within = F.col(lng).between(-180, 180) & (F.col(lng) < 180)
+    x = F.when(within, F.col(lng)).otherwise(turn) if surface == geo.SPHERE else F.col(lng)
+    real = geo.is_position(F.col(lng), F.col(lat))
+    real = real if surface == geo.SPHERE else real & F.col(lng).between(-180, 180)
+    joined = points.withColumns({"_x": F.when(real, x), "_y": F.when(real, F.col(lat))})
+    found = []
+    for level in levels_of(grid):
+        lists = grid.where(F.col("level") == level).groupBy(F.col("ci").alias("_ci"), F.col("cj").alias("_cj"))
+        lists = lists.agg(F.collect_list("_cell").alias(f"_cells_{level}"))
+        joined = joined.withColumns(dict(zip(("_ci", "_cj"), cell_of(F.col("_x"), F.col("_y"), level))))
+        joined = join_lookup(joined, lists, ["_ci", "_cj"], "left", small=small)
+        found.append(F.coalesce(F.col(f"_cells_{level}"), F.array()))
+    kept = [*points.columns]
+    if not found:
+        empty = [F.lit(None).cast(polygons.schema[c].dataType).alias(c) for c in values]
+        return joined.select(*kept, *empty).where(F.lit(how == "left"))
+    hits = F.filter(F.concat(*found), lambda c: _inside(c, F.col("_x"), F.col("_y"), closed))
+    unfold = F.explode_outer if how == "left" else F.explode
+    rows = joined.select(*kept, unfold(F.transform(hits, lambda c: c["values"])).alias("_hit"))
+    return rows.select(*kept, *[F.col(f"_hit.{c}").alias(c) for c in values])
 
 
 def join_within(
@@ -231,18 +202,19 @@ def join_within(
     lat: str = "lat",
     id_column: str = "id",
     geometry: str = "geometry",
-    cell_degrees: float = CELL_DEGREES,
     grid: DataFrame | None = None,
+    surface: str = geo.SPHERE,
     limit: int = COVER_BROADCAST_BYTES,
 ) -> DataFrame:
     """Join points to the polygons they lie strictly within.
 
     The columns of ``polygons`` other than id and geometry are added. A point within several
-    polygons gives a row for each; with ``how="left"`` one in none gives a row with NULLs.
-    ``grid`` is a stored :func:`cover` that holds at least these polygons.
+    polygons gives a row for each; with ``how="left"`` one in none gives a row with NULLs, and
+    so does one whose position is NULL or not finite. ``grid`` is a stored :func:`cover` that
+    holds at least these polygons.
     """
     return _join_points(
-        points, polygons, how, False, lng, lat, id_column, geometry, cell_degrees, grid, limit
+        points, polygons, how, False, lng, lat, id_column, geometry, grid, surface, limit
     )
 
 
@@ -255,13 +227,62 @@ def join_intersects(
     lat: str = "lat",
     id_column: str = "id",
     geometry: str = "geometry",
-    cell_degrees: float = CELL_DEGREES,
     grid: DataFrame | None = None,
+    surface: str = geo.SPHERE,
     limit: int = COVER_BROADCAST_BYTES,
 ) -> DataFrame:
     """As :func:`join_within`, the boundary included."""
     return _join_points(
-        points, polygons, how, True, lng, lat, id_column, geometry, cell_degrees, grid, limit
+        points, polygons, how, True, lng, lat, id_column, geometry, grid, surface, limit
+    )
+
+
+def _with_ancestors(grid: DataFrame, from_level: int, own: bool) -> DataFrame:
+    """Each row once for every cell it lies in, from a level on; its own cell only if ``own``."""
+    last = F.col("level") if own else F.col("level") - 1
+    ups = F.when(last >= from_level, F.sequence(F.lit(from_level), last.cast("int"))).otherwise(F.array())
+    step = F.col("level") - F.col("_level")
+    return grid.withColumn("_level", F.explode(ups)).withColumns({
+        "_ci": F.floor(F.col("ci") / F.pow(F.lit(2e0), step)).cast("long"),
+        "_cj": F.floor(F.col("cj") / F.pow(F.lit(2e0), step)).cast("long"),
+    })
+
+
+def _meet(s: str, b: str) -> Column:
+    """Whether two polygons meet in the cell ``s``, which lies in or is the cell ``b``.
+
+    Both are looked at in the smaller cell: the larger one's edges are cut to those that reach
+    it, and its side is carried to the centre of the smaller one.
+    """
+    level, ci, cj = (F.col(f"{s}{c}") for c in ("level", "ci", "cj"))
+    x, y = _centre(level, ci, cj)
+    mine, theirs = F.col(f"{s}edges"), F.col(f"{b}edges")
+    local = F.filter(F.coalesce(theirs, F.array()), lambda e: _in_cell(e, level, ci, cj))
+    all_theirs = F.coalesce(theirs, F.array())
+    centre_in = F.col(f"{b}centre_in") != _turned(all_theirs, x, y, F.col(f"{b}cy"))
+
+    def starts_in_mine(start: Column) -> Column:
+        px, py = start["ax"], start["ay"]
+        at_i, at_j = cell_of(px, py, level)
+        here = (at_i == ci) & (at_j == cj)
+        inside = F.col(f"{s}centre_in") != _turned(mine, px, py, F.col(f"{s}cy"))
+        return start["first"] & here & inside
+
+    def starts_in_theirs(start: Column) -> Column:
+        px, py = start["ax"], start["ay"]
+        at_i, at_j = cell_of(px, py, level)
+        here = (at_i == ci) & (at_j == cj)
+        inside = F.col(f"{b}centre_in") != _turned(all_theirs, px, py, F.col(f"{b}cy"))
+        return start["first"] & here & inside
+
+    both = (
+        geo.edge_lists_meet(mine, theirs) | F.exists(theirs, starts_in_mine) | F.exists(mine, starts_in_theirs)
+    )
+    return (
+        F.when(theirs.isNull(), F.lit(True))
+        .when(mine.isNull(), (F.size(local) > 0) | centre_in)
+        .when(F.size(local) == 0, centre_in)
+        .otherwise(both)
     )
 
 
@@ -271,52 +292,47 @@ def intersecting_pairs(
     *,
     id_column: str = "id",
     geometry: str = "geometry",
-    cell_degrees: float = CELL_DEGREES,
-    left_method: str = "auto",
     right_grid: DataFrame | None = None,
+    left_grid: DataFrame | None = None,
+    surface: str = geo.SPHERE,
     limit: int = COVER_BROADCAST_BYTES,
 ) -> DataFrame:
     """Distinct ``(left_id, right_id)`` of polygons that share a point.
 
-    Both sides are covered. In a shared cell they meet if one of them fills the cell, if local
-    edges meet, or if a ring point of one lies in the other; some shared cell shows it.
+    Both sides are covered. Cells share space when one is the other or holds it, so the smaller
+    one is joined by the cells that it lies in. There they meet if one of them fills what they
+    share, if edges meet, or if a ring point of one lies in the other; some shared cell shows it.
     """
-    names = {"id_column": id_column, "geometry": geometry}
-    left_grid = cover(left, cell_degrees, method=left_method, **names)
-    if right_grid is None:
-        right_grid = cover(right, cell_degrees, **names)
+    names = {"id_column": id_column, "geometry": geometry, "surface": surface}
+    left_grid = cover(left, **names) if left_grid is None else left_grid
+    right_grid = cover(right, **names) if right_grid is None else right_grid
+    fields = ("level", "ci", "cj", "cy", "centre_in", "edges")
 
-    def side(grid: DataFrame, id_name: str, prefix: str) -> DataFrame:
+    def named(grid: DataFrame, prefix: str, keys: tuple[str, str, str]) -> DataFrame:
         return grid.select(
-            F.col("id").alias(id_name), F.col("ci").alias("_ci"), F.col("cj").alias("_cj"),
-            F.col("centre_in").alias(f"{prefix}centre_in"), F.col("edges").alias(f"{prefix}edges"),
+            F.col("id").alias(f"{prefix}id"), *[F.col(f).alias(f"{prefix}{f}") for f in fields],
+            *[F.col(k).alias(n) for k, n in zip(keys, ("_level", "_ci", "_cj"))],
         )
 
-    ci, cj = F.col("_ci"), F.col("_cj")
-    cx, cy = _centre_x(ci, cell_degrees), _centre_y(cj, cell_degrees)
-
-    def holds_ring_point(prefix: str, other: str) -> Column:
-        """Some ring of ``other`` starts in this cell, at a point inside."""
-
-        def inside(start: Column) -> Column:
-            x, y = start["x1"], start["y1"]
-            crossed = F.filter(F.col(f"{prefix}edges"), lambda e: _crosses(e, x, y, cx, cy))
-            here = (cell_of(x, cell_degrees) == ci) & (cell_of(y, cell_degrees) == cj)
-            return start["first"] & here & (F.col(f"{prefix}centre_in") != geo.odd(crossed))
-
-        return F.exists(F.col(f"{other}edges"), inside)
-
-    a, b = "_a_", "_b_"
-    filled = F.col(f"{a}edges").isNull() | F.col(f"{b}edges").isNull()
-    meet = F.when(filled, F.lit(True)).otherwise(
-        geo.edge_lists_meet(F.col(f"{a}edges"), F.col(f"{b}edges"))
-        | holds_ring_point(a, b) | holds_ring_point(b, a)
-    )
+    own, up = ("level", "ci", "cj"), ("_level", "_ci", "_cj")
+    left_levels, right_levels = levels_of(left_grid), levels_of(right_grid)
+    if not left_levels or not right_levels:
+        ids = left.select(F.col(id_column).alias("left_id")), right.select(F.col(id_column).alias("right_id"))
+        return ids[0].join(ids[1], F.lit(False), "inner")
+    # The left cell is the smaller one or the same, then the right one is smaller.
+    smaller = named(_with_ancestors(left_grid, right_levels[0], True), "_a_", up)
+    larger = named(right_grid, "_b_", own)
     hits = join_lookup(
-        side(left_grid, "left_id", a), side(right_grid, "right_id", b), ["_ci", "_cj"], "inner",
-        condition=meet, salt_by=["left_id"], limit=limit,
-    )
-    return hits.select("left_id", "right_id").distinct()
+        smaller, larger, ["_level", "_ci", "_cj"], "inner", condition=_meet("_a_", "_b_"),
+        salt_by=["_a_id"], limit=limit,
+    ).select(F.col("_a_id").alias("left_id"), F.col("_b_id").alias("right_id"))
+    larger = named(left_grid, "_a_", own)
+    smaller = named(_with_ancestors(right_grid, left_levels[0], False), "_b_", up)
+    more = join_lookup(
+        larger, smaller, ["_level", "_ci", "_cj"], "inner", condition=_meet("_b_", "_a_"),
+        salt_by=["_a_id"], limit=limit,
+    ).select(F.col("_a_id").alias("left_id"), F.col("_b_id").alias("right_id"))
+    return hits.union(more).distinct()
 
 
 def join_polygons(
@@ -325,19 +341,19 @@ def join_polygons(
     *,
     id_column: str = "id",
     geometry: str = "geometry",
-    cell_degrees: float = CELL_DEGREES,
-    left_method: str = "auto",
     right_grid: DataFrame | None = None,
+    surface: str = geo.SPHERE,
     limit: int = COVER_BROADCAST_BYTES,
 ) -> DataFrame:
     """Inner join of polygons to the polygons they intersect, one row per pair.
 
     Adds the columns of ``right`` other than id and geometry to those of ``left``.
-    ``right_grid`` is a stored :func:`cover` that holds at least the polygons of ``right``.
+    ``right_grid`` is a stored :func:`cover` that holds at least the polygons of ``right``. Rows
+    of ``left`` that repeat an id stand for one polygon; each of them gets the pairs of its id.
     """
     pairs = intersecting_pairs(
-        left, right, id_column=id_column, geometry=geometry, cell_degrees=cell_degrees,
-        left_method=left_method, right_grid=right_grid, limit=limit,
+        left.dropDuplicates([id_column]), right, id_column=id_column, geometry=geometry, right_grid=right_grid,
+        surface=surface, limit=limit,
     )
     values = [c for c in right.columns if c not in (id_column, geometry)]
     named = right.select(F.col(id_column).alias("right_id"), *values)

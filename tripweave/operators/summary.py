@@ -199,7 +199,7 @@ def speed_distribution(points: DataFrame) -> DataFrame:
         F.min("trip_avg_speed").alias("min_speed"), F.max("trip_avg_speed").alias("max_speed")
     )
     # Trip speeds are rounded, so a mode has few distinct values however many trips it has.
-    quartiles = exact_percentiles(trips, ["transportation_mode"], "trip_avg_speed", SPREAD, 1e0)
+    quartiles = exact_percentiles(trips, ["transportation_mode"], "trip_avg_speed", SPREAD)
     measures = ["min_speed", *SPREAD, "max_speed"]
     return (
         extremes.join(quartiles, "transportation_mode", "left")

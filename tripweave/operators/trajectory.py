@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_m
+from ..functions.geo import haversine_m, is_position
 from ..functions.numbers import kmh, seconds_between
 from ..session import shared_dir
 from .joins import join_lookup, row_salt
@@ -227,7 +227,7 @@ def _keyed_speeds(points: DataFrame, tie: Sequence[str], hot: HotTrips) -> DataF
         near = over_border(near, edge_rows(keyed, "last", tie, place), F.lag, place)
     gap = seconds_between(F.col("_n_event_timestamp"), F.col("event_timestamp"))
     metres = haversine_m(F.col("_n_lat"), F.col("_n_lng"), F.col("lat"), F.col("lng"))
-    no_place = F.col("_n_lat").isNull() | F.col("_n_lng").isNull()
+    no_place = ~is_position(F.col("_n_lng"), F.col("_n_lat"))
     speed = F.when(no_place | (F.col("_gap") == 0), F.lit(0e0)).otherwise(
         kmh(metres, F.col("_gap"))
     )
@@ -243,8 +243,8 @@ def speed_points(
 ) -> DataFrame:
     """Add ``time_lag`` (seconds since the trip's previous point) and ``speed`` (km/h).
 
-    Both are 0 on a trip's first point; speed is also 0 after a point without position and
-    across a gap of zero seconds. ``tie`` orders points of the same time. ``hot`` is what
+    Both are 0 on a trip's first point; speed is also 0 after a point without position (NULL or
+    not finite) and across a gap of zero seconds, and NULL at a point without position. ``tie`` orders points of the same time. ``hot`` is what
     :func:`find_hot_trips` found, which runs here unless given.
     """
     hot = hot or find_hot_trips(points, tie=tie)

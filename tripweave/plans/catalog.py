@@ -13,17 +13,25 @@ from pyspark.sql import functions as F
 
 from ..operators import countries as co
 from ..operators import hex_travel as hx
-from ..operators import pois, routes, segments, summary, trajectory, trips
+from ..operators import cube, pois, routes, segments, summary, trajectory, trips
 from ..operators.joins import join_lookup
-from ..operators.spatial_join import cover
+from ..operators.spatial_join import cover, join_intersects
 from ..session import prepare, stage_dir
+from ..sources import readers
 from ..sources import sample_inputs as inputs
 from ..sources.country_names import country_reference
-from ..sources.stages import read_stage, write_stage
+from ..sources.stages import current_version, read_bucketed, read_stage, write_bucketed, write_stage
 from . import pipeline
 
 STORE_COUNTRY = "NATION_3"
 FILTER_MODES = ["cycling", "driving_urban", "walking"]
+#: Degrees by which areas and places are turned east, so that areas lie over the date line.
+TURN = 160e0
+MATRIX_BUCKETS = 16
+PAIR = ("NATION_1", "cycling")
+ONE_TRIP = ("3", "2818")
+ORIGIN = "h_5_0"
+FILTER_USERS = [str(i) for i in range(1, 150, 2)]
 FILTER_COUNTRIES = ["NATION_1", "NATION_6", "NATION_12", "NATION_18"]
 
 
@@ -52,15 +60,30 @@ class Stages:
         if name not in self.built:
             cluster = pipeline.TRIP_ORDER if name == "points_mode" else None
             if name == "travel_matrix":
-                cluster = ("origin_hex",)
-            write_stage(self._build(spark, name), self.root, name, cluster)
+                write_bucketed(self._build(spark, name), self.root, name, "origin_hex", MATRIX_BUCKETS)
+            else:
+                write_stage(self._build(spark, name), self.root, name, cluster)
             self.built.add(name)
+        if name == "travel_matrix":
+            return read_bucketed(spark, self.root, name, "origin_hex", MATRIX_BUCKETS)
         return read_stage(spark, self.root, name)
 
+    def stored(self, spark: SparkSession, name: str) -> str:
+        """The folder of an input table in its stored shape, for the readers."""
+        self.get(spark, name)
+        return current_version(spark, self.root, name)
+
     def _build(self, spark: SparkSession, name: str) -> DataFrame:
         def stage(other: str) -> DataFrame:
             return self.get(spark, other)
 
+        stored = {
+            "division_area": inputs.division_area, "infrastructure": inputs.infrastructure,
+            "places": inputs.places, "shaped_areas": inputs.shaped_areas,
+            "turned_areas": lambda spark, sf_dir: inputs.shaped_areas(spark, sf_dir, TURN),
+        }
+        if name in stored:
+            return stored[name](spark, self.sf_dir)
         if name == "countries":
             return _countries(spark, self.sf_dir)
         if name == "country_cover":
@@ -76,6 +99,11 @@ class Stages:
             return pipeline.points_mode(stage("points_country"), self.hot(spark))
         if name == "trip_grain":
             return summary.trip_grain(stage("points_mode"))
+        if name == "facet_cube":
+            def keep(df: DataFrame, name: str) -> DataFrame:
+                return write_stage(df, self.root, name)
+
+            return cube.facet_cube(stage("trip_grain"), keep)
         if name == "trip_metrics":
             return segments.trip_metrics(stage("points_mode"), hot=self.hot(spark))
         if name == "route_responses":
@@ -89,9 +117,16 @@ class Stages:
 
 
 def _countries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return co.build_countries(
-        inputs.division_area(spark, sf_dir), inputs.country_reference(spark, sf_dir)
-    )
+    areas = readers.read_divisions(spark, Stages.of(spark, sf_dir).stored(spark, "division_area"))
+    return co.build_countries(areas, inputs.country_reference(spark, sf_dir))
+
+
+def _infrastructure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.read_infrastructure(spark, Stages.of(spark, sf_dir).stored(spark, "infrastructure"))
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.read_places(spark, Stages.of(spark, sf_dir).stored(spark, "places"))
 
 
 def _text(df: DataFrame) -> DataFrame:
@@ -209,10 +244,7 @@ def countries(spark, sf_dir):
 def points_country(spark, sf_dir):
     names = ("points_clean", "countries", "country_cover")
     tagged = pipeline.points_country(*(_stage(spark, sf_dir, s) for s in names))
-    return _rounded(
-        tagged.select("uid", "tid", "event_id", "time_lag", "speed", "country_code", "country_name"),
-        "speed",
-    )
+    return _rounded(tagged, "speed")
 
 
 @_query
@@ -229,11 +261,7 @@ def trip_modes(spark, sf_dir):
 @_query
 def points_mode(spark, sf_dir):
     points = _stage(spark, sf_dir, "points_country")
-    classified = pipeline.points_mode(points, _hot(spark, sf_dir))
-    return classified.select(
-        "uid", "tid", "event_id", "event_timestamp", "time_lag", "country_code", "country_name",
-        "transportation_mode", "trip_avg_speed", "trip_max_speed", "trip_median_speed",
-    )
+    return _rounded(pipeline.points_mode(points, _hot(spark, sf_dir)), "speed")
 
 
 # Summaries.
@@ -256,6 +284,57 @@ def overview_filtered(spark, sf_dir):
     return summary.overview(chosen)
 
 
+# The queries of the overview page under chosen facets: sets and sums from the cube, measures of
+# single trips from the grain.
+
+
+def _chosen(spark, sf_dir, name):
+    return summary.facet_filter(
+        _stage(spark, sf_dir, name), users=FILTER_USERS, modes=FILTER_MODES, countries=FILTER_COUNTRIES
+    )
+
+
+@_query
+def chosen_overview(spark, sf_dir):
+    return cube.overview(_chosen(spark, sf_dir, "facet_cube"))
+
+
+@_query
+def chosen_mode_distribution(spark, sf_dir):
+    return cube.mode_distribution(_chosen(spark, sf_dir, "facet_cube"))
+
+
+@_query
+def chosen_top_countries(spark, sf_dir):
+    return cube.top_countries(_chosen(spark, sf_dir, "facet_cube"))
+
+
+@_query
+def chosen_mode_by_country(spark, sf_dir):
+    return cube.mode_by_country(_chosen(spark, sf_dir, "facet_cube"))
+
+
+@_query
+def chosen_speed_by_mode_country(spark, sf_dir):
+    return cube.speed_by_mode_country(_chosen(spark, sf_dir, "facet_cube"), min_trips=1)
+
+
+@_query
+def chosen_speed_distribution(spark, sf_dir):
+    return summary.speed_distribution(_chosen(spark, sf_dir, "trip_grain"))
+
+
+@_query
+def chosen_sample_trips(spark, sf_dir):
+    return summary.sample_trips(_chosen(spark, sf_dir, "trip_grain"), n=20)
+
+
+@_query
+def cube_overview(spark, sf_dir):
+    """The overview of everything from the cube: distinct trips and users without expanding rows."""
+    return cube.overview(_stage(spark, sf_dir, "facet_cube"))
+
+
 @_query
 def facet_values(spark, sf_dir):
     grain = _grain(spark, sf_dir)
@@ -311,9 +390,22 @@ def trip_picker(spark, sf_dir):
     return summary.trips_for(summary.trip_list(_grain(spark, sf_dir)))
 
 
+@_query
+def trips_of_pair(spark, sf_dir):
+    """The trips of one country and one mode, with their number."""
+    return summary.trips_for(summary.trip_list(_grain(spark, sf_dir)), PAIR[0], PAIR[1])
+
+
 # Segments and routes.
 
 
+@_query
+def one_trip_segments(spark, sf_dir):
+    """The segments of one trip: the filter reaches the clustered points."""
+    one = _points(spark, sf_dir).filter((F.col("uid") == ONE_TRIP[0]) & (F.col("tid") == ONE_TRIP[1]))
+    return segments.trip_segments(one, hot=_hot(spark, sf_dir)).drop("segment_geojson")
+
+
 @_query
 def trip_segments(spark, sf_dir):
     out = segments.trip_segments(_points(spark, sf_dir), hot=_hot(spark, sf_dir))
@@ -372,14 +464,14 @@ def route_comparison(spark, sf_dir):
 
 @_query
 def infra_tags(spark, sf_dir):
-    tags = pois.explode_tags(inputs.infrastructure(spark, sf_dir))
+    tags = pois.explode_tags(_infrastructure(spark, sf_dir))
     return tags.select("id", "class", "tag_key", "tag_value")
 
 
 @_query
 def hgv_parkings(spark, sf_dir):
     found = pois.hgv_parkings(
-        inputs.infrastructure(spark, sf_dir), _stage(spark, sf_dir, "countries"),
+        _infrastructure(spark, sf_dir), _stage(spark, sf_dir, "countries"),
         grid=_stage(spark, sf_dir, "country_cover"),
     )
     corner = F.get("geometry", F.lit(0))
@@ -393,14 +485,41 @@ def hgv_parkings(spark, sf_dir):
 @_query
 def retail_stores(spark, sf_dir):
     return pois.retail_stores(
-        inputs.places(spark, sf_dir), _stage(spark, sf_dir, "countries"), STORE_COUNTRY,
+        _places(spark, sf_dir), _stage(spark, sf_dir, "countries"), STORE_COUNTRY,
         grid=_stage(spark, sf_dir, "country_cover"),
     )
 
 
+def _area_places(spark, sf_dir, name, turn):
+    areas = readers.read_divisions(spark, Stages.of(spark, sf_dir).stored(spark, name))
+    east = F.pmod(F.col("lng") + F.lit(turn + 180e0), F.lit(360e0)) - F.lit(180e0)
+    places = _places(spark, sf_dir).select("id", east.alias("lng"), "lat")
+    named = areas.select("id", "geometry", F.col("id").alias("area"))
+    return join_intersects(places, named, "left").select("id", "area")
+
+
+@_query
+def area_places(spark, sf_dir):
+    """Places in stored areas with holes and several parts."""
+    return _area_places(spark, sf_dir, "shaped_areas", 0e0)
+
+
+@_query
+def date_line_places(spark, sf_dir):
+    """The same areas and places, turned so that some areas lie over the date line."""
+    return _area_places(spark, sf_dir, "turned_areas", TURN)
+
+
 # Hexagons.
 
 
+@_query
+def origin_travel_times(spark, sf_dir):
+    """Five rings around one origin, of a matrix that holds ten: one bucket is read."""
+    matrix, cells = (_stage(spark, sf_dir, s) for s in ("travel_matrix", "hexagons"))
+    return hx.travel_times(matrix, cells, k=5, origin=ORIGIN)
+
+
 def _times(spark, sf_dir):
     return hx.travel_times(*(_stage(spark, sf_dir, s) for s in ("travel_matrix", "hexagons")))
 

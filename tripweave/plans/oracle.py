@@ -9,7 +9,15 @@ from __future__ import annotations
 from ..functions import rules
 from ..sources.country_names import COUNTRY_NAMES
 from ..sources.sample_inputs import STORE_CATEGORIES, STORE_NAMES
-from .catalog import FILTER_COUNTRIES, FILTER_MODES, STORE_COUNTRY
+from .catalog import (
+    FILTER_COUNTRIES,
+    FILTER_MODES,
+    FILTER_USERS,
+    ONE_TRIP,
+    ORIGIN,
+    PAIR,
+    STORE_COUNTRY,
+)
 
 
 def _text(value: str) -> str:
@@ -40,6 +48,43 @@ def _pick(index: str, values: list) -> str:
     return f"CASE {index} {whens} END"
 
 
+# Great circles. A diamond or box is convex: a point is inside when it is on the inner side of the
+# great circle of each edge, and two of them meet unless an edge has the other's corners all outside.
+
+
+def _north(ax: str, ay: str, bx: str, by: str, px: str, py: str) -> str:
+    """Positive where the point is north of the great circle from a east to b, or west of it."""
+    sines = [f"sin(radians(({u}) - ({v})))" for u, v in ((bx, ax), (bx, px), (px, ax))]
+    return (
+        f"(tan(radians({py}))*{sines[0]} - tan(radians({ay}))*{sines[1]} - tan(radians({by}))*{sines[2]})"
+    )
+
+
+def _diamond_sides(cx: str, cy: str, r: str, px: str, py: str) -> list[str]:
+    """Negative inside, for each edge of the diamond."""
+    w, n, e, s = (f"{cx} - {r}", cy), (cx, f"{cy} + {r}"), (f"{cx} + {r}", cy), (cx, f"{cy} - {r}")
+    return [_north(*w, *n, px, py), _north(*n, *e, px, py), "-" + _north(*w, *s, px, py), "-" + _north(*s, *e, px, py)]
+
+
+def _box_sides(x: str, y: str, h: str, px: str, py: str) -> list[str]:
+    a, b, c, d = (f"{x} - {h}", f"{y} - {h}"), (f"{x} + {h}", f"{y} - {h}"), (f"{x} + {h}", f"{y} + {h}"), (f"{x} - {h}", f"{y} + {h}")
+    return ["-" + _north(*a, *b, px, py), _north(*d, *c, px, py), _north(*a, *d, px, py), "-" + _north(*b, *c, px, py)]
+
+
+def _in_diamond(cx: str, cy: str, r: str, px: str, py: str, closed: bool) -> str:
+    bound = "<= 1e-14" if closed else "< -1e-14"
+    return "(" + " AND ".join(f"{s} {bound}" for s in _diamond_sides(cx, cy, r, px, py)) + ")"
+
+
+def _box_meets_diamond(x: str, y: str, h: str, cx: str, cy: str, r: str) -> str:
+    corners = [(f"{x} {a} {h}", f"{y} {b} {h}") for a in "+-" for b in "+-"]
+    ends = [(f"{cx} + {r}", cy), (f"{cx} - {r}", cy), (cx, f"{cy} + {r}"), (cx, f"{cy} - {r}")]
+    by_diamond = zip(*[_diamond_sides(cx, cy, r, *p) for p in corners])
+    by_box = zip(*[_box_sides(x, y, h, *p) for p in ends])
+    apart = [f"least({', '.join(sides)}) > 1e-14" for sides in [*by_diamond, *by_box]]
+    return "NOT (" + " OR ".join(apart) + ")"
+
+
 # Inputs.
 
 _GPS = """
@@ -96,7 +141,8 @@ countries AS (
 _TAGGED = _CLEAN + "," + _COUNTRIES + """,
 tagged AS (
   SELECT p.*, c.iso_code AS country_code, c.english_name AS country_name
-  FROM clean p LEFT JOIN countries c ON abs(p.lng - c.cx) + abs(p.lat - c.cy) < 2.5e0
+  FROM clean p LEFT JOIN countries c ON abs(p.lng - c.cx) <= 2.5e0 AND abs(p.lat - c.cy) <= 3e0
+    AND """ + _in_diamond("c.cx", "c.cy", "2.5e0", "p.lng", "p.lat", False) + """
 )"""
 
 _STATS = _TAGGED + f""",
@@ -259,7 +305,27 @@ def _spread(name: str, p: float) -> str:
     return f"{_up(f'quantile_cont(trip_avg_speed, {p})')} AS {name}"
 
 
+# Holes and parts: inside the outer diamond, not strictly inside the hole, or in the island. Turning
+# all of it around the axis changes no side.
+_AREA_PLACES = f"""WITH areas AS (
+  SELECT n_nationkey AS k, n_name AS area, 1e1*(n_nationkey // 5) + 5e0 AS cx, 1e1*(n_nationkey % 5) + 5e0 AS cy
+  FROM nation
+), spots AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS id, (c_custkey*6151 % 50000)/1e3 AS lng, (c_custkey*3571 % 50000)/1e3 AS lat
+  FROM customer
+)
+SELECT id, area FROM spots LEFT JOIN areas ON abs(lng - cx) <= 4e0 AND abs(lat - cy) <= 5e0 AND (
+  {_in_diamond('cx', 'cy', '4e0', 'lng', 'lat', True)} AND NOT {_in_diamond('cx', 'cy', '1.5e0', 'lng', 'lat', False)}
+  OR k % 3 = 0 AND {_in_diamond('cx', 'cy', '0.7e0', 'lng', 'lat', True)})"""
+
 ORACLE: dict[str, str] = {
+    "area_places": _AREA_PLACES,
+    "date_line_places": _AREA_PLACES,
+    "origin_travel_times": _with(
+        _TIMES,
+        "SELECT origin_hex, dest_hex, distance_km, duration_minutes, origin_lat, origin_lon, dest_lat, "
+        f"dest_lon, ring, {_TIME_COLOUR} AS color FROM times WHERE origin_hex = {_text(ORIGIN)} AND ring <= 5",
+    ),
     "gps_points": _with(_GPS, f"SELECT {_RAW} FROM gps"),
     "speed_points": _with(
         _SPEED,
@@ -290,16 +356,14 @@ ORACLE: dict[str, str] = {
     ),
     "points_country": _with(
         _TAGGED,
-        "SELECT uid, tid, event_id, time_lag, round(speed, 6) AS speed, country_code, "
-        "country_name FROM tagged",
+        f"SELECT {_RAW}, time_lag, round(speed, 6) AS speed, country_code, country_name FROM tagged",
     ),
     "trip_statistics": _with(_STATS, "SELECT * FROM stats"),
     "trip_modes": _with(_MODES, "SELECT * FROM modes"),
     "points_mode": _with(
         _POINTS,
-        f"SELECT uid, tid, event_id, {_TIME} AS event_timestamp, time_lag, country_code, "
-        "country_name, transportation_mode, trip_avg_speed, trip_max_speed, trip_median_speed "
-        "FROM points",
+        f"SELECT {_RAW}, time_lag, round(speed, 6) AS speed, country_code, country_name, "
+        "transportation_mode, trip_avg_speed, trip_max_speed, trip_median_speed FROM points",
     ),
     "overview": _with(_POINTS, _OVERVIEW),
     "overview_filtered": _with(
@@ -410,7 +474,7 @@ ORACLE: dict[str, str] = {
         "FROM metrics m JOIN routes r ON m.uid = r.uid AND m.tid = r.tid",
     ),
     "infra_tags": """
-        SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'parking' WHEN 1 THEN 'Parking_lot'
+        SELECT CAST(p_partkey AS VARCHAR) AS id, CASE p_partkey % 4 WHEN 0 THEN 'parking' WHEN 1 THEN 'Parking_lot'
             WHEN 2 THEN 'bridge' ELSE 'bicycle_parking' END AS class,
           CASE WHEN p_partkey % 5 = 0 AND n = 1 THEN 'fee' ELSE 'hgv' END AS tag_key,
           CASE WHEN p_partkey % 5 = 0 AND n = 0 THEN 'yes' WHEN p_partkey % 5 = 0 THEN 'no'
@@ -420,20 +484,20 @@ ORACLE: dict[str, str] = {
         WHERE p_partkey % 5 <> 4""",
     "hgv_parkings": _with(
         _COUNTRIES + """, boxes AS (
-          SELECT p_partkey AS id, (p_partkey*7919 % 50000)/1e3 AS x,
+          SELECT CAST(p_partkey AS VARCHAR) AS id, (p_partkey*7919 % 50000)/1e3 AS x,
             (p_partkey*104729 % 50000)/1e3 AS y, p_partkey % 5 AS tags FROM part
           WHERE p_partkey % 4 IN (0, 1) AND p_partkey % 3 <> 2
             AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 5 IN (0, 1, 3)
         )""",
         "SELECT b.id, english_name, x - 0.2e0 AS xmin, y - 0.2e0 AS ymin, "
         "x + 0.2e0 AS xmax, y + 0.2e0 AS ymax "
-        "FROM boxes b JOIN countries c ON greatest(abs(x - cx) - 0.2e0, 0e0) "
-        "+ greatest(abs(y - cy) - 0.2e0, 0e0) <= 2.5e0 "
+        "FROM boxes b JOIN countries c ON abs(x - cx) < 3e0 AND abs(y - cy) < 3e0 AND "
+        + _box_meets_diamond("x", "y", "0.2e0", "cx", "cy", "2.5e0") + " "
         "JOIN range(2) AS r(n) ON n = 0 OR tags = 3",
     ),
     "retail_stores": _with(
         _COUNTRIES + f""", stores AS (
-          SELECT c_custkey AS id, {_pick('c_custkey % 9', STORE_NAMES)} AS store_name,
+          SELECT CAST(c_custkey AS VARCHAR) AS id, {_pick('c_custkey % 9', STORE_NAMES)} AS store_name,
             {_pick('c_custkey % 4', STORE_CATEGORIES)} AS category,
             (c_custkey*6151 % 50000)/1e3 AS lng, (c_custkey*3571 % 50000)/1e3 AS lat,
             '[{{"country":"N' || chr(65 + c_nationkey) || '"}}]' AS addresses,
@@ -442,7 +506,8 @@ ORACLE: dict[str, str] = {
           FROM customer
         )""",
         "SELECT s.* FROM stores s JOIN countries c "
-        "ON abs(lng - cx) + abs(lat - cy) <= 2.5e0 "
+        "ON abs(lng - cx) <= 2.5e0 AND abs(lat - cy) <= 3e0 AND "
+        + _in_diamond("cx", "cy", "2.5e0", "lng", "lat", True) + " "
         f"WHERE english_name = {_text(STORE_COUNTRY)} AND canonical_name IS NOT NULL "
         f"AND category IN {_in(rules.RETAIL_CATEGORIES)}",
     ),
@@ -483,3 +548,29 @@ ORACLE: dict[str, str] = {
         "FROM times WHERE ring > 0 GROUP BY origin_hex, ring",
     ),
 }
+
+# The same queries over chosen facets: the points are restricted first.
+_CHOSEN = _POINTS.replace("points AS (", "every_point AS (") + f""",
+points AS (
+  SELECT * FROM every_point WHERE uid IN {_in(FILTER_USERS)} AND transportation_mode IN {_in(FILTER_MODES)}
+    AND country_name IN {_in(FILTER_COUNTRIES)}
+)"""
+for _name in ("overview", "mode_distribution", "top_countries", "mode_by_country", "speed_by_mode_country",
+              "speed_distribution", "sample_trips"):
+    ORACLE[f"chosen_{_name}"] = _with(_CHOSEN, ORACLE[_name].removeprefix(_with(_POINTS, "")))
+ORACLE["chosen_speed_by_mode_country"] = ORACLE["chosen_speed_by_mode_country"].replace(") >= 5", ") >= 1")
+ORACLE["chosen_sample_trips"] = ORACLE["chosen_sample_trips"].replace("LIMIT 100", "LIMIT 20")
+ORACLE["cube_overview"] = ORACLE["overview"]
+ORACLE["trips_of_pair"] = _with(
+    _POINTS + f", trips AS ({_TRIPS})",
+    "SELECT *, count(*) OVER () AS trips_found FROM trips "
+    f"WHERE country_name = {_text(PAIR[0])} AND transportation_mode = {_text(PAIR[1])}",
+)
+ORACLE["one_trip_segments"] = _with(
+    _SEGMENTS,
+    f"SELECT s.uid, s.tid, rn, lat1, lon1, lat2, lon2, {_up('speed')} AS avg_speed, "
+    f"seconds AS segment_duration_seconds, {_SPEED_COLOUR} AS color, total_duration_seconds, "
+    + _up("sum(speed * (seconds/3.6e3)) OVER (PARTITION BY s.uid, s.tid)")
+    + " AS total_distance_km FROM segments s JOIN lags l ON s.uid = l.uid AND s.tid = l.tid "
+    f"WHERE s.uid = {_text(ONE_TRIP[0])} AND s.tid = {_text(ONE_TRIP[1])}",
+)

@@ -16,7 +16,7 @@ from ..operators.pois import hgv_parkings, retail_stores
 from ..operators.spatial_join import cover, join_within
 from ..operators.summary import trip_grain
 from ..operators.trajectory import HotTrips, drop_outlier_trips, find_hot_trips
-from ..operators.trips import attach_trip_mode, trip_modes
+from ..operators.trips import label_points
 from ..sources.stages import write_stage
 
 TRIP_ORDER = ("uid", "tid", "event_timestamp")
@@ -44,8 +44,7 @@ def points_country(
 
 
 def points_mode(points: DataFrame, hot: HotTrips | None = None) -> DataFrame:
-    hot = hot or find_hot_trips(points)
-    return attach_trip_mode(points, trip_modes(points, hot), hot)
+    return label_points(points, hot)
 
 
 Step = tuple[str, Callable[[Inputs, Callable[[str], DataFrame]], DataFrame], tuple | None]

@@ -32,10 +32,10 @@ DIVISIONS = _struct(
 )
 
 INFRASTRUCTURE = _struct(
-    id=_L, **{"class": _S}, subtype=_S, geom_type=_S, geometry=RINGS, source_tags=_S,
+    id=_S, **{"class": _S}, subtype=_S, geom_type=_S, geometry=RINGS, source_tags=_S,
 )
 
-PLACES = _struct(id=_L, lng=_D, lat=_D, names=_S, categories=_S, addresses=_S)
+PLACES = _struct(id=_S, lng=_D, lat=_D, names=_S, categories=_S, addresses=_S)
 
 HEXAGONS = _struct(hex_id=_S, q=_I, r=_I, latitude=_D, longitude=_D)
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -32,12 +35,14 @@ def size_shuffle(spark: SparkSession, input_bytes: int, target_bytes: int = 128
 def shared_dir(spark: SparkSession) -> str:
     """The folder for written stages: the cluster's checkpoint folder, read from the session.
 
-    Only where the session names none (tests, one machine) is a new local folder made and set.
+    Only on one machine may the session name none: there a new local folder is made and set.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir")
     folder = folder or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all hosts of the cluster share")
         folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
@@ -47,3 +52,19 @@ def shared_dir(spark: SparkSession) -> str:
 def stage_dir(spark: SparkSession) -> str:
     """A folder below :func:`shared_dir` no other application writes to."""
     return f"{shared_dir(spark)}/stages-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, as Spark sends Python files."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="ship-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for file in sorted(package.rglob("*.py")):
+                z.write(file, file.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _shipped.add(app)

@@ -92,7 +92,7 @@ def customer_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def division_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A diamond of radius 2.5 degrees for each nation."""
+    """A diamond of radius 2.5 degrees for each nation, as stored: GeoJSON and JSON text."""
     key = F.col("n_nationkey")
     x = F.expr("n_nationkey div 5") * F.lit(1e1) + F.lit(5e0)
     y = (key % 5) * F.lit(1e1) + F.lit(5e0)
@@ -102,7 +102,7 @@ def division_area(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("d"), key.cast("string")).alias("id"),
         _nation_code(key).alias("country"),
         F.to_json(F.struct(F.col("n_name").alias("primary"))).alias("names"),
-        F.array(F.array(*[F.array(px, py) for px, py in corners])).alias("geometry"),
+        geo.geojson("Polygon", F.array(F.array(*[F.array(px, py) for px, py in corners]))).alias("geometry"),
         F.struct(
             (x - r).alias("xmin"), (x + r).alias("xmax"), (y - r).alias("ymin"), (y + r).alias("ymax")
         ).alias("bbox"),
@@ -110,7 +110,7 @@ def division_area(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key == 22, "maritime").otherwise("land").alias("class"),
         F.lit(None).cast("string").alias("region"),
     )
-    return as_variants(rows, "names")
+    return rows
 
 
 # Tag lists by p_partkey % 5.
@@ -128,16 +128,20 @@ def infrastructure(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = (key * 7919 % 50000) / F.lit(1e3)
     y = (key * 104729 % 50000) / F.lit(1e3)
     h = F.lit(0.2e0)
-    rows = table(spark, sf_dir, "part").select(
-        key.alias("id"),
+    square = geo.box(x - h, y - h, x + h, y + h)
+    kind = F.when(key % 7 == 0, "Point").when(key % 11 == 0, "MultiPolygon").otherwise("Polygon")
+    shape = (
+        F.when(kind == "Point", geo.geojson("Point", F.array(x, y)))
+        .when(kind == "MultiPolygon", geo.geojson("MultiPolygon", F.array(square)))
+        .otherwise(geo.geojson("Polygon", square))
+    )
+    return table(spark, sf_dir, "part").select(
+        key.cast("string").alias("id"),
         _choose(key % 4, ["parking", "Parking_lot", "bridge", "bicycle_parking"]).alias("class"),
         _choose(key % 3, ["TRANSIT", "transit", "airport"]).alias("subtype"),
-        F.when(key % 7 == 0, "Point").when(key % 11 == 0, "MultiPolygon").otherwise("Polygon")
-        .alias("geom_type"),
-        geo.box(x - h, y - h, x + h, y + h).alias("geometry"),
+        shape.alias("geometry"),
         _choose(key % 5, TAGS).alias("source_tags"),
     )
-    return as_variants(rows, "source_tags")
 
 
 STORE_NAMES = [
@@ -154,15 +158,44 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.to_json(F.struct(value.alias("primary")))
 
     country = F.concat(F.lit('[{"country":"'), _nation_code(F.col("c_nationkey")), F.lit('"}]'))
-    rows = table(spark, sf_dir, "customer").select(
-        key.alias("id"),
-        ((key * 6151 % 50000) / F.lit(1e3)).alias("lng"),
-        ((key * 3571 % 50000) / F.lit(1e3)).alias("lat"),
+    x, y = (key * 6151 % 50000) / F.lit(1e3), (key * 3571 % 50000) / F.lit(1e3)
+    return table(spark, sf_dir, "customer").select(
+        key.cast("string").alias("id"),
+        geo.geojson("Point", F.array(x, y)).alias("geometry"),
         primary(_choose(key % 9, STORE_NAMES)).alias("names"),
         primary(_choose(key % 4, STORE_CATEGORIES)).alias("categories"),
         country.alias("addresses"),
     )
-    return as_variants(rows, "names", "categories", "addresses")
+
+
+def shaped_areas(spark: SparkSession, sf_dir: str, turn: float = 0e0) -> DataFrame:
+    """Stored areas with holes and several parts, ``turn`` degrees to the east.
+
+    Each nation's diamond of radius 4 has a hole of radius 1.5, which runs the other way around
+    for every second nation; every third nation also has a diamond of radius 0.7 in the middle of
+    the hole, as a second part. Longitudes beyond 180 start anew at -180.
+    """
+    key = F.col("n_nationkey")
+    x0, y = F.expr("n_nationkey div 5") * F.lit(1e1) + F.lit(5e0), (key % 5) * F.lit(1e1) + F.lit(5e0)
+
+    def turned(x: Column) -> Column:
+        return F.pmod(x + F.lit(turn + 180e0), F.lit(360e0)) - F.lit(180e0)
+
+    def diamond(r: float, clockwise: Column) -> Column:
+        d = F.lit(r)
+        corners = [F.array(turned(px), py) for px, py in ((x0 + d, y), (x0, y + d), (x0 - d, y), (x0, y - d))]
+        ring = F.array(*corners, corners[0])
+        return F.when(clockwise, F.reverse(ring)).otherwise(ring)
+
+    holed = F.array(diamond(4e0, F.lit(False)), diamond(1.5e0, key % 2 == 0))
+    parts = F.array(holed, F.array(diamond(0.7e0, F.lit(False))))
+    shape = F.when(key % 3 == 0, geo.geojson("MultiPolygon", parts)).otherwise(geo.geojson("Polygon", holed))
+    return table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("id"), _nation_code(key).alias("country"),
+        F.to_json(F.struct(F.col("n_name").alias("primary"))).alias("names"), shape.alias("geometry"),
+        F.lit(None).cast("struct<xmin:double,xmax:double,ymin:double,ymax:double>").alias("bbox"),
+        F.lit("country").alias("subtype"), F.lit("land").alias("class"), F.lit(None).cast("string").alias("region"),
+    )
 
 
 def hexagons(spark: SparkSession, sf_dir: str) -> DataFrame:
