@@ -7,11 +7,13 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
+#: Measured bytes of a table that a join sends to all executors.
+BROADCAST_BYTES = 64 << 20
 #: Most rows of a narrow id table that is broadcast; above it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -61,6 +63,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sized(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """``df`` marked for broadcast if its measured size allows that; above it joins shuffle."""
+    size = df.agg(F.coalesce(F.sum(row_bytes.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def rows_of(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows of ``df`` whose ``key`` is in the stored table ``ids`` (one column, distinct).
 

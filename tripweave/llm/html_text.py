@@ -1,27 +1,34 @@
 """Operator 6, main text of web pages by wrappers that are inferred per host.
 
 A page is read as a tree of block elements; its skeleton, a union-free regular expression, has
-a field for each run of text, and runs of like siblings folded into repeated groups. Pages of a
-host are aligned: matching elements are merged, elements without a partner become optional,
-adjacent repeats are folded again. What is left is the host's wrapper. The fields of a wrapper
-are then told apart: fields in menus, headers, footers, sidebars, notices, adverts, forms and
-comments are page furniture, as is, outside of articles, a field whose text is the same on all
-of at least three pages. The rest are content, those in an article before others.
-
-Only distinct skeletons are aligned, and never more than ``FAN`` at once: groups of a host are
-merged, then the results, until one is left. Pages are read twice and moved once.
+a leaf for each run of text, with a hash of it, and runs of like siblings folded into repeated
+groups, whose texts are hashed together. Pages of a host are aligned: matching elements are
+merged, elements without a partner become optional, adjacent repeats are folded again. A leaf
+whose texts agree stays template text, with the number of pages that agree; at the first mismatch
+it becomes a text slot. What is left is the host's wrapper, and it decides: fields in menus,
+headers, footers, sidebars, notices, adverts, forms and comments are page furniture, as is,
+outside of articles, a field that is template text of at least three pages. Slots and the texts
+of fewer pages are content, those in an article before others.
+
+Pages of one structure differ in their texts alone: they are merged leaf by leaf, in the tasks
+that read them and then by grouped aggregation. Only the distinct structures of a host are
+aligned, and never more than ``FAN`` at once: groups of a host are merged, then the results, until
+one is left. Pages are read twice; they are not moved unless the rules of all hosts are large.
 
 Defined results: a null or empty html has no text; a null url, or one without host, belongs to
 a host of its own name, the empty one; broken markup is read leniently, as browsers do for
-paragraphs and lists; repeated rows give repeated results; an empty table gives an empty result;
-other columns are never read.
+paragraphs and lists, to any depth; classes of html and body elements are not looked at; repeated
+rows give repeated results; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import html as entities
 import json
 import re
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, sized
 
 #: Skeletons of a host that one call aligns.
 FAN = 32
@@ -121,16 +128,24 @@ def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], str]]:
     yield from run()
 
 
-# A wrapper is a list of parts [label, mark, parts]; the mark is "", "?", "+" or "*". A field is
-# a part labelled "#", a repeated group of several parts has the label "()".
+# A wrapper is a list of parts [label, mark, parts, hash, pages]; the mark is "", "?", "+" or "*".
+# A leaf is a part labelled "#": its hash is that of the text that all its pages agree on, null
+# for a slot. A repeated group of several parts has the label "()". Functions on parts recurse as
+# deep as the markup nests, for which Python's own limit is lifted.
+
+
+def text_hash(*texts: object) -> int:
+    body = "\n".join(map(str, texts)).encode()
+    return int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little") >> 1
 
 
-def skeleton(paths: list[tuple[str, ...]]) -> list:
-    """The tree of the paths of a page's texts, repeats folded."""
+def skeleton(texts: list[tuple[tuple[str, ...], str]]) -> list:
+    """The tree of the (path, text) of a page, repeats folded."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
     root: list = []
-    last: list[tuple[str, list]] = []
+    last: list[list] = []
     before: tuple[str, ...] = ()
-    for path in paths:
+    for path, text in texts:
         same = 0
         while same < min(len(path), len(before)) and path[same] == before[same]:
             same += 1
@@ -138,12 +153,12 @@ def skeleton(paths: list[tuple[str, ...]]) -> list:
             same -= 1
         del last[same:]
         for label in path[same:]:
-            part = [label, "", []]
-            (last[-1][1] if last else root).append(part)
-            last.append((label, part[2]))
-        (last[-1][1] if last else root).append(["#", "", []])
+            part = [label, "", [], None, 0]
+            (last[-1] if last else root).append(part)
+            last.append(part[2])
+        (last[-1] if last else root).append(["#", "", [], text_hash(text), 1])
         before = path
-    return fold(root)
+    return fold(root, True)
 
 
 def _mark(x: str, y: str, more: bool = False) -> str:
@@ -152,89 +167,150 @@ def _mark(x: str, y: str, more: bool = False) -> str:
     return "*" if many and none else "+" if many else "?" if none else ""
 
 
-def _same(x: list, y: list) -> bool:
-    return x[0] == y[0] and (x[0] != "()" or [p[0] for p in x[2]] == [p[0] for p in y[2]])
+def _key(part: list) -> object:
+    return part[0] if part[0] != "()" else ("()", *[p[0] for p in part[2]])
 
 
-def _joined(x: list, y: list, more: bool = False) -> list:
-    return [x[0], _mark(x[1], y[1], more), align(x[2], y[2])]
+def _joined(x: list, y: list, more: bool = False, same_page: bool = False) -> list:
+    """Two matching parts as one; texts of one page are hashed together, others have to agree."""
+    known = x[3] if x[3] == y[3] else None
+    if same_page and x[3] is not None and y[3] is not None:
+        known = text_hash(x[3], y[3])
+    pages = max(x[4], y[4]) if more or same_page else x[4] + y[4]
+    parts = align(x[2], y[2], same_page)
+    return [x[0], _mark(x[1], y[1], more), parts, known, pages]
 
 
-def fold(parts: list) -> list:
+def fold(parts: list, same_page: bool = False) -> list:
     """Resolve adjacent repeats, of one part or of several, into repeated groups."""
     out: list = []
     for part in parts:
-        part = [part[0], part[1], fold(part[2])]
-        if out and _same(out[-1], part):
-            out[-1] = _joined(out[-1], part, more=True)
+        part = [part[0], part[1], fold(part[2], same_page), part[3], part[4]]
+        if out and _key(out[-1]) == _key(part):
+            out[-1] = _joined(out[-1], part, True, same_page)
         else:
             out.append(part)
-    size = 2
-    while 2 * size <= len(out):
-        at = 0
-        while at + 2 * size <= len(out):
-            one, two = out[at : at + size], out[at + size : at + 2 * size]
-            if all(_same(x, y) for x, y in zip(one, two, strict=True)):
-                both = [_joined(x, y) for x, y in zip(one, two, strict=True)]
-                out[at : at + 2 * size] = [["()", "+", both]]
-                while at + 1 + size <= len(out) and all(
-                    _same(x, y) for x, y in zip(out[at][2], out[at + 1 : at + 1 + size], strict=True)
-                ):
-                    more = [_joined(x, y) for x, y in zip(out[at][2], out[at + 1 : at + 1 + size], strict=True)]
-                    out[at : at + 1 + size] = [["()", "+", more]]
-            at += 1
-        size += 1
-    return out
-
-
-def align(x: list, y: list) -> list:
+    keys = [_key(p) for p in out]
+    later: dict[object, int] = {}
+    after = [0] * len(out)
+    for i in range(len(out) - 1, -1, -1):
+        after[i] = later.get(keys[i], len(out))
+        later[keys[i]] = i
+    folded, i = [], 0
+    while i < len(out):
+        j = after[i]
+        size = j - i
+        if size > 1 and j + size <= len(out) and keys[i + 1] == keys[j + 1] and keys[i:j] == keys[j : j + size]:
+            group, k = out[i:j], j
+            while keys[k : k + size] == keys[i:j]:
+                group = [_joined(x, y, False, same_page) for x, y in zip(group, out[k : k + size], strict=True)]
+                k += size
+            folded.append(["()", "+", group, None, 0])
+            i = k
+        else:
+            folded.append(out[i])
+            i += 1
+    return folded
+
+
+def _partners(x: list, y: list) -> list[tuple[int, int]]:
+    """Pairs of a longest common subsequence of two lists of keys (Hunt and Szymanski)."""
+    places: dict[object, list[int]] = {}
+    for j, key in enumerate(y):
+        places.setdefault(key, []).append(j)
+    ends: list[int] = []
+    links: list[tuple] = []
+    for i, key in enumerate(x):
+        for j in reversed(places.get(key, ())):
+            at = bisect.bisect_left(ends, j)
+            link = (i, j, links[at - 1] if at else None)
+            if at == len(ends):
+                ends.append(j)
+                links.append(link)
+            else:
+                ends[at], links[at] = j, link
+    out, link = [], links[-1] if links else None
+    while link:
+        out.append((link[0], link[1]))
+        link = link[2]
+    return out[::-1]
+
+
+def align(x: list, y: list, same_page: bool = False) -> list:
     """Merge two lists of parts along their longest common sequence; the rest is optional."""
-    if x == y:
-        return x
-    n, m = len(x), len(y)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if _same(x[i], y[j]) else max(best[i + 1][j], best[i][j + 1])
+    one, two = [_key(p) for p in x], [_key(p) for p in y]
+    if one == two:
+        return [_joined(a, b, False, same_page) for a, b in zip(x, y, strict=True)]
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and _same(x[i], y[j]) and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append(_joined(x[i], y[j]))
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([x[i][0], _mark(x[i][1], "?"), x[i][2]])
-            i += 1
-        else:
-            out.append([y[j][0], _mark(y[j][1], "?"), y[j][2]])
-            j += 1
-    return fold(out) if len(out) > max(n, m) else out
+    for a, b in [*_partners(one, two), (len(x), len(y))]:
+        out += [[p[0], _mark(p[1], "?"), *p[2:]] for p in [*x[i:a], *y[j:b]]]
+        if a < len(x):
+            out.append(_joined(x[a], y[b], False, same_page))
+        i, j = a + 1, b + 1
+    return fold(out) if len(out) > max(len(x), len(y)) else out
+
+
+def packed(parts: list) -> tuple[list, list]:
+    """(structure, leaves): labels, marks and numbers of parts in order, and (hash, pages)."""
+    shape, leaves, todo = [], [], [(len(parts), iter(parts))]
+    shape.append(len(parts))
+    while todo:
+        part = next(todo[-1][1], None)
+        if part is None:
+            todo.pop()
+            continue
+        shape += [part[0], part[1], len(part[2])]
+        if part[0] == "#":
+            leaves.append((part[3], part[4]))
+        todo.append((len(part[2]), iter(part[2])))
+    return shape, leaves
 
 
-def fields(wrapper: list, above: tuple[str, ...] = ()) -> Iterator[tuple[str, ...]]:
-    """The paths of all fields of a wrapper, groups left out."""
-    for label, _, parts in wrapper:
+def unpacked(shape: list, leaves: list) -> list:
+    values, known = iter(shape[1:]), iter(leaves)
+    root: list = []
+    todo = [(shape[0], root)]
+    while todo:
+        left, into = todo.pop()
+        if not left:
+            continue
+        label, mark, n = next(values), next(values), next(values)
+        part = [label, mark, [], *(next(known) if label == "#" else (None, 0))]
+        into.append(part)
+        todo += [(left - 1, into), (n, part[2])]
+    return root
+
+
+def fields(wrapper: list) -> Iterator[tuple[tuple[str, ...], int | None, int]]:
+    """(path, hash or null for a slot, pages) of all fields of a wrapper, groups left out."""
+    todo = [((), part) for part in reversed(wrapper)]
+    while todo:
+        above, (label, _, parts, known, pages) = todo.pop()
         if label == "#":
-            yield above
+            yield above, known, pages
         else:
-            yield from fields(parts, above if label == "()" else (*above, label))
+            path = above if label == "()" else (*above, label)
+            todo += [(path, part) for part in reversed(parts)]
 
 
 def is_furniture(path: tuple[str, ...]) -> bool:
     for label in path:
         tag, _, names = label.partition(".")
+        if tag in ("html", "body"):
+            continue
         if tag in FURNITURE_TAGS or not FURNITURE_WORDS.isdisjoint(_PARTS.split(names)):
             return True
     return False
 
 
-def content_fields(wrapper: list, constant: set[str]) -> tuple[set[str], set[str]]:
-    """Fields in articles, and other content fields, as joined paths."""
+def content_fields(wrapper: list) -> tuple[set[str], set[str]]:
+    """Fields in articles, and fields elsewhere that are no template text, as joined paths."""
     main, rest = set(), set()
-    for path in fields(wrapper):
+    for path, known, pages in fields(wrapper):
         if not is_furniture(path):
             if _MAIN & {label.partition(".")[0] for label in path}:
                 main.add("/".join(path))
-            elif "/".join(path) not in constant:
+            elif known is None or pages < AGREE:
                 rest.add("/".join(path))
     return main, rest
 
@@ -243,69 +319,91 @@ def _host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
 
 
-def _texts_of(parts: list[tuple[tuple[str, ...], str]]) -> list[dict]:
-    """A hash of all texts of each field outside of articles that is not furniture anyway."""
-    found: dict[str, list[str]] = {}
-    for path, text in parts:
-        if not (_MAIN & {x.partition(".")[0] for x in path}) and not is_furniture(path):
-            found.setdefault("/".join(path), []).append(text)
-    keys = list(found)
-    hashes = pd.util.hash_array(pd.Series([" ".join(found[k]) for k in keys], dtype=object).to_numpy())
-    return [{"field": k, "hash": int(h) >> 1} for k, h in zip(keys, hashes.tolist(), strict=True)]
+_LEAVES = "array<struct<hash: long, pages: long>>"
+
+
+def _merge(rows: pd.DataFrame) -> pd.DataFrame:
+    """The wrapper of all wrappers of a group, in an order that no run changes."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
+    given = sorted(
+        (shape, [(None if x["hash"] is None else int(x["hash"]), int(x["pages"])) for x in leaves])
+        for shape, leaves in zip(rows["shape"], rows["leaves"], strict=True)
+    ) if len(rows) > 1 else [(rows["shape"].iloc[0], [(x["hash"], x["pages"]) for x in rows["leaves"].iloc[0]])]
+    merged = unpacked(json.loads(given[0][0]), given[0][1])
+    for shape, leaves in given[1:]:
+        merged = align(merged, unpacked(json.loads(shape), leaves))
+    shape, leaves = packed(merged)
+    made = [{"hash": h, "pages": n} for h, n in leaves]
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "shape": [json.dumps(shape)], "leaves": [made]})
 
 
 def infer_wrappers(pages: DataFrame, scratch: Scratch, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, main, rest): the content fields of each host's wrapper."""
+    """(host, shape, leaves): the wrapper of each host, packed."""
     wanted = pages.select(_host(F.col(url)).alias("host"), F.col(html).alias("html"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("field", pa.string()), ("hash", pa.int64())]))
         for batch in batches:
-            shapes, texts = [], []
-            for page in batch.column(1):
-                parts = list(blocks(page.as_py()))
-                shapes.append(json.dumps(skeleton([path for path, _ in parts])))
-                texts.append(_texts_of(parts))
+            found: dict[tuple[str, str], list] = {}
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                shape, leaves = packed(skeleton(list(blocks(page.as_py()))))
+                hashes = [h for h, _ in leaves]
+                known = found.setdefault((host, json.dumps(shape)), [hashes, 0])
+                known[0] = [a if a == b else None for a, b in zip(known[0], hashes, strict=True)]
+                known[1] += 1
+            hosts, shapes = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(shapes, pa.string()), pa.array(texts, kind)],
-                ["host", "wrapper", "texts"],
+                [
+                    pa.array(hosts, pa.string()), pa.array(shapes, pa.string()),
+                    pa.array([v[0] for v in found.values()], pa.list_(pa.int64())),
+                    pa.array([v[1] for v in found.values()], pa.int64()),
+                ],
+                ["host", "shape", "hashes", "pages"],
             )
 
     seen = scratch.table(
-        wanted.mapInArrow(read, "host string, wrapper string, texts array<struct<field: string, hash: long>>"),
-        "skeletons",
+        wanted.mapInArrow(read, "host string, shape string, hashes array<long>, pages long"), "skeletons"
     )
-    each = seen.select("host", F.explode("texts").alias("t")).groupBy("host", "t.field").agg(
-        F.count("*").alias("n"), F.min("t.hash").alias("lo"), F.max("t.hash").alias("hi")
+    # Pages of one structure, leaf by leaf; the structure itself travels once.
+    kind = F.xxhash64("shape").alias("kind")
+    leaf = seen.select("host", kind, "pages", F.posexplode("hashes").alias("at", "h"))
+    slot = F.max(F.col("h").isNull()) | (F.min("h") != F.max("h"))
+    leaves = leaf.groupBy("host", "kind", "at").agg(
+        F.when(~slot, F.min("h")).alias("hash"), F.sum("pages").alias("pages")
     )
-    constant = each.where((F.col("n") >= AGREE) & (F.col("lo") == F.col("hi"))).select("host", "field")
-    constant = scratch.table(constant, "constant")
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        shapes = [json.loads(x) for x in sorted(rows["wrapper"])]
-        merged = shapes[0]
-        for shape in shapes[1:]:
-            merged = align(merged, shape)
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(merged)]})
-
-    now, step = scratch.table(seen.select("host", "wrapper").distinct(), "wrappers-0"), 0
+    leaves = leaves.groupBy("host", "kind").agg(F.sort_array(F.collect_list(F.struct("at", "hash", "pages"))).alias("l"))
+    shapes = seen.groupBy("host", kind).agg(F.first("shape").alias("shape"))
+    both = shapes.join(leaves, ["host", "kind"], "left").select(
+        "host", "shape", F.coalesce(F.transform("l", lambda x: F.struct(x["hash"], x["pages"])), F.array()).cast(_LEAVES).alias("leaves")
+    )
+    now, step = scratch.table(both, "wrappers-0"), 0
     while not (many := now.groupBy("host").count().where("count > 1")).isEmpty():
         groups = many.select("host", F.ceil(F.col("count") / FAN).alias("groups"))
         dealt = now.join(groups, "host", "left")
-        group = F.pmod(F.xxhash64("wrapper", F.lit(step)), F.coalesce("groups", F.lit(1)))
-        merged = dealt.select("host", "wrapper", group.alias("g")).groupBy("host", "g")
+        group = F.pmod(F.xxhash64("shape", F.lit(step)), F.coalesce("groups", F.lit(1)))
+        merged = dealt.select("host", "shape", "leaves", group.alias("g")).groupBy("host", "g")
         step += 1
         now = scratch.table(
-            merged.applyInPandas(merge, "host string, wrapper string").distinct(), f"wrappers-{step}"
+            merged.applyInPandas(_merge, f"host string, shape string, leaves {_LEAVES}"), f"wrappers-{step}"
         )
+    return now
+
+
+def host_rules(wrappers: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, main, rest): the content fields of each wrapper."""
 
-    def sort_out(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        if not len(one):
-            return pd.DataFrame({"host": [], "main": [], "rest": []})
-        main, rest = content_fields(json.loads(one["wrapper"].iloc[0]), set(two["field"]))
-        return pd.DataFrame({"host": [one["host"].iloc[0]], "main": [sorted(main)], "rest": [sorted(rest)]})
+    def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for shape, leaves in zip(batch.column(1), batch.column(2), strict=True):
+                known = [(x["hash"], x["pages"]) for x in leaves.as_py()]
+                found.append(content_fields(unpacked(json.loads(shape.as_py()), known)))
+            lists = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array([sorted(f[k]) for f in found], lists) for k in (0, 1)]],
+                ["host", "main", "rest"],
+            )
 
-    rules = now.groupBy("host").cogroup(constant.groupBy("host")).applyInPandas(
+    rules = wrappers.select("host", "shape", "leaves").mapInArrow(
         sort_out, "host string, main array<string>, rest array<string>"
     )
     return scratch.table(rules, "rules")
@@ -316,12 +414,13 @@ def main_text(
 ) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     scratch = Scratch(pages.sparkSession, "html")
-    rules = infer_wrappers(pages, scratch, url, html)
+    rules = host_rules(infer_wrappers(pages, scratch, url, html), scratch)
     wanted = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"),
         _host(F.col(url)).alias("host"),
     )
-    joined = wanted.join(rules, "host").select("page_id", "url", "html", "main", "rest")
+    length = F.octet_length(F.concat_ws("", "main", "rest")) + 16 * (F.size("main") + F.size("rest")) + 64
+    joined = wanted.join(sized(rules, length), "host").select("page_id", "url", "html", "main", "rest")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

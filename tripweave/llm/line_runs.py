@@ -29,12 +29,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions
+from .common import Scratch, shuffle_partitions, sized
 
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANK = " \t\n\x0b\f\r"
-#: Measured bytes of a table that a join sends to all executors; above it the join shuffles.
-BROADCAST_BYTES = 64 << 20
 KEY = ["h1", "h2"]
 RUN = "h1 long, h2 long, n_docs long, keeper long"
 
@@ -141,12 +139,6 @@ class LineRuns:
         self.levels = []
 
 
-def _sized(df: DataFrame, row_bytes: Column) -> DataFrame:
-    """``df`` marked for broadcast if its measured size allows that."""
-    size = df.agg(F.coalesce(F.sum(row_bytes.cast("long")), F.lit(0))).first()[0]
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def dedup_lines(
     docs: DataFrame, least_chars: int = 40, least_docs: int = 5, id_col: str = "doc_id",
     text: str = "text", batches: int = 4, fan: int = 2,
@@ -168,13 +160,13 @@ def dedup_lines(
         runs.add(lines.where(F.col("batch") == i))
     repeated = scratch.table(runs.repeated(least_docs), "repeated")
     runs.close()
-    gone = lines.join(_sized(repeated, F.lit(40)), KEY).where("id != keeper")
+    gone = lines.join(sized(repeated, F.lit(40)), KEY).where("id != keeper")
     gone = gone.groupBy("id", "row").agg(F.collect_set("at").alias("gone"))
     gone = scratch.table(gone, "gone")
     scratch.drop("lines")
 
     cut = named.withColumn("row", F.xxhash64("text")).join(
-        _sized(gone, F.size("gone") * 4 + 40), ["id", "row"], "left"
+        sized(gone, F.size("gone") * 4 + 40), ["id", "row"], "left"
     )
     every = F.sequence(F.lit(0), F.size("lines") - 1)
     kept = F.transform(F.array_except(every, "gone"), lambda i: F.get("lines", i))
