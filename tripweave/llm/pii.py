@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]\d|\d)"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# No start inside a run and no way back into it: a long run without an @ is read once.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IPV4 = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"
 DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d./])\d{2}(?<s>[./])\d{2}\k<s>\d{4}(?![\d./]\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -379,21 +380,24 @@ def pseudonymize(
     body = F.col(f"`{text}`")
     some = body.rlike("[0-9@]")
     found = F.when(some, F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)))
+    made = "_pseudonyms"
+    while made in df.columns:
+        made += "_"
     work = df.select(
         *[F.col(f"`{c}`") for c in df.columns if c != count],
-        F.when(F.size(found) > 0, _replaced(found, key)).alias("_pseudonyms"),
+        F.when(F.size(found) > 0, _replaced(found, key)).alias(made),
     )
     gaps = F.split(body, CANDIDATE, -1)
-    news = F.transform(F.col("_pseudonyms"), lambda s: s["new"])
+    news = F.transform(F.col(made), lambda s: s["new"])
     joined = F.array_join(
         F.zip_with(gaps, F.concat(news, F.array(F.lit(""))), lambda g, r: F.concat(g, r)), ""
     )
-    hits = F.filter(F.col("_pseudonyms"), lambda s: s["kind"].isNotNull())
+    hits = F.filter(F.col(made), lambda s: s["kind"].isNotNull())
     return work.select(
         *[
-            F.when(F.col("_pseudonyms").isNull(), body).otherwise(joined).alias(c)
+            F.when(F.col(made).isNull(), body).otherwise(joined).alias(c)
             if c == text else F.col(f"`{c}`")
             for c in df.columns if c != count
         ],
-        F.coalesce(F.when(F.col("_pseudonyms").isNotNull(), F.size(hits)), F.lit(0)).cast("long").alias(count),
+        F.coalesce(F.when(F.col(made).isNotNull(), F.size(hits)), F.lit(0)).cast("long").alias(count),
     )
