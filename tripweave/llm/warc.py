@@ -261,7 +261,8 @@ def read_archives(runs: DataFrame) -> DataFrame:
 
     A task reads one archive after another as a stream and checks the digest of each payload.
     """
-    files = runs.select("path").distinct().repartition(shuffle_partitions(runs.sparkSession), "path")
+    # By a hash that Spark does not take for the distinct's own: the archives are dealt for good.
+    files = runs.select("path").distinct().repartition(shuffle_partitions(runs.sparkSession), F.xxhash64("path"))
     schema = pa.schema([
         ("path", pa.string()), ("position", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()),
         ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()),
@@ -310,7 +311,9 @@ def archive_digest(pages: DataFrame, **options) -> DataFrame:
     scratch = Scratch(pages.sparkSession, "warc")
     runs = write_archives(pages, scratch.root, **options)
     index = merge_runs(runs, scratch.root).select("path", "position", "urlkey", "timestamp", "ordinal")
-    return read_archives(runs).join(index, ["path", "position"]).select(
+    # Stored, for its size cannot be told from the few paths it comes from.
+    records = scratch.table(read_archives(runs), "records")
+    return records.join(index.hint("merge"), ["path", "position"]).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey",
         "timestamp", "ordinal",
     )
