@@ -176,12 +176,92 @@ def test_main_text(spark):
 
 
 def test_wrapper_groups():
-    one = html_text.skeleton([("body", "dl", x) for x in ("dt", "dd", "dt", "dd")])
-    two = html_text.skeleton([("body", "p"), ("body", "dl", "dt"), ("body", "dl", "dd")])
+    one = html_text.skeleton([(("body", "dl", x), x) for x in ("dt", "dd", "dt", "dd")])
+    two = html_text.skeleton([(("body", "p"), "a"), (("body", "dl", "dt"), "b"), (("body", "dl", "dd"), "c")])
     merged = html_text.align(one, two)
     marks = {(p[0], p[1]) for p in merged[0][2]}
     assert ("p", "?") in marks and ("dl", "") in marks
-    assert {"/".join(p) for p in html_text.fields(merged)} == {"body/p", "body/dl/dt", "body/dl/dd"}
+    assert {"/".join(p) for p, _, _ in html_text.fields(merged)} == {"body/p", "body/dl/dt", "body/dl/dd"}
+    assert html_text.unpacked(*html_text.packed(merged)) == merged
+
+
+def test_slots_and_template_text():
+    pages = [[(("div", "h2"), "News"), (("div", "p"), f"text {i}"), (("ul", "li"), "one"), (("ul", "li"), "two")] for i in range(3)]
+    wrapper = html_text.skeleton(pages[0])
+    for page in pages[1:]:
+        wrapper = html_text.align(wrapper, html_text.skeleton(page))
+    found = {"/".join(p): (h is None, n) for p, h, n in html_text.fields(wrapper)}
+    assert found == {"div/h2": (False, 3), "div/p": (True, 3), "ul/li": (False, 3)}
+    assert html_text.content_fields(wrapper) == (set(), {"div/p"})
+
+
+def test_template_without_tell_tale_names_is_dropped(spark):
+    """Menu, tag line and an optional box go because the wrapper says they are template text."""
+    rows = []
+    for i in range(12):
+        box = "<div><p>Our shop is open</p></div>" if i % 2 else ""
+        body = "".join(f"<p>words {i} {j}</p>" for j in range(1 + i % 3))
+        rows.append((i, f"http://h.org/{i}", f"<body class='right-sidebar'><div><ul><li>Home<li>About</ul></div>{box}<section>{body}</section><div>All rights</div>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    assert got == {i: " ".join(f"words {i} {j}" for j in range(1 + i % 3)) for i in range(12)}
+    one = spark.createDataFrame([(1, "http://x.org", "<body class='has-widgets'><article><p>hello</p></article>")], "page_id long, url string, html string")
+    assert html_text.main_text(one).first().text == "hello"
+
+
+def test_deep_and_wide_pages(spark):
+    deep = "<div>" * 5000 + "in the deep" + "</div>" * 5000
+    wide = "".join(f"<p class='c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}'>w{i}</p>" for i in range(15_000))
+    rows = [(1, "http://d.org/1", deep), (2, "http://d.org/2", deep + "<div>more</div>"), (3, "http://w.org/1", wide), (4, "http://w.org/2", wide + "<h1>x</h1>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    assert got[1] == "in the deep" and got[2] == "in the deep more"
+    assert got[3] == " ".join(f"w{i}" for i in range(15_000)) and got[4] == got[3] + " x"
+
+
+def test_long_runs_and_clashing_names(spark):
+    text = "a" * 1_000_000 + " b.c@x.org " + "0" * 100_000
+    df = spark.createDataFrame([(text, "kept")], "text string, _pseudonyms string")
+    row = pii.pseudonymize(df, "k").first()
+    assert row["_pseudonyms"] == "kept" and row.n_pseudonyms == 1 and len(row.text) == len(text)
+    assert row.text[:1_000_000] == text[:1_000_000] and row.text[1_000_001:].endswith("@x.org " + "0" * 100_000)
+
+
+def feistel_of(key, kind, a, b, x, y):
+    """A second network, step by step, as HMAC over the coordinate that is not changed."""
+    def mixed(i, v):
+        inner = hashlib.sha256(f"in:{key}|{kind}|{i}|{v}".encode()).hexdigest()
+        return int(hashlib.sha256(f"out:{key}{inner}".encode()).hexdigest()[:15], 16)
+
+    for i in range(pii.ROUNDS):
+        x, y = ((x + mixed(i, y)) % a, y) if i % 2 == 0 else (x, (y + mixed(i, x)) % b)
+    return x, y
+
+
+def test_network_step_by_step_and_back(spark):
+    domains = [(7, 5, x, y) for x in range(7) for y in range(5)] + [(10**6, 10**6, 123456, 654321), (229, 319, 17, 300)]
+    df = spark.createDataFrame(domains, "a long, b long, x long, y long")
+    kind = F.lit("card")
+    got = df.select("*", pii.feistel("key", kind, F.col("a"), F.col("b"), F.col("x"), F.col("y")).alias("p")).collect()
+    for r in got:
+        assert (r.p.x, r.p.y) == feistel_of("key", "card", r.a, r.b, r.x, r.y)
+        x, y = r.p.x, r.p.y
+        for i in reversed(range(pii.ROUNDS)):
+            def mixed(v):
+                inner = hashlib.sha256(f"in:key|card|{i}|{v}".encode()).hexdigest()
+                return int(hashlib.sha256(f"out:key{inner}".encode()).hexdigest()[:15], 16)
+            x, y = ((x - mixed(y)) % r.a, y) if i % 2 == 0 else (x, (y - mixed(x)) % r.b)
+        assert (x, y) == (r.x, r.y)
+    assert len({(r.p.x, r.p.y) for r in got if r.a == 7}) == 35
+
+
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h{i}.org", f"<p>{i}") for i in range(40)], "page_id long, url string, html string").repartition(8)
+    runs = warc.write_archives(pages, str(tmp_path / "out"))
+    text = warc.read_archives(runs)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in text and "xxhash64(path" in text
+    final = warc.archive_digest(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [path" not in final and "SortMergeJoin [path" in final
 
 
 def test_articles_of_the_sample(spark, sf_dir):
