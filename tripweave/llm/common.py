@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,6 +19,19 @@ BROADCAST_BYTES = 64 << 20
 BROADCAST_IDS = 1_000_000
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def only_cache(name: str, clear: Callable[[], None]) -> None:
+    """Let a worker keep the cache ``name`` and clear those that other operators left in it.
+
+    Workers outlive stages: without this, each stage of a pipeline would leave its cache behind.
+    """
+    for other in [x for x in _caches if x != name]:
+        _caches.pop(other)()
+    _caches[name] = clear
+
+
 _shipped: set[str] = set()
 
 

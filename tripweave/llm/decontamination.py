@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, rows_without
+from .common import Scratch, only_cache, rows_without
 from .minhash import _batches, _mix
 
 #: Words of a template window, and words that a match has to cover.
@@ -105,6 +105,7 @@ def _vocabulary() -> list[_Words]:
 
 def canonical(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, is a slot) of each canonical word of all texts, one text after the other."""
+    only_cache("words", _vocabulary.cache_clear)
     holder = _vocabulary()
     if len(holder[0]) > _VOCABULARY:
         holder[0] = _Words()

@@ -9,6 +9,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import only_cache
+
 #: Unicode White_Space, as the tokenizer's own pattern understands ``\s``. Fixed values.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters that make a unit of their own where white space, an ASCII sign or the end follows.
@@ -21,7 +23,7 @@ _UNIT = re.compile(
 _WORD = re.compile(f" ?[{_LETTER}]+")
 
 #: Distinct units a worker remembers; beyond it, those not used since half as many were new go.
-CACHE_UNITS = 800_000
+CACHE_UNITS = 600_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -100,10 +102,16 @@ class Encoder(dict):
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def encoder(path: str) -> Encoder:
+    """The worker's encoder of a tokenizer file, with what it remembers of earlier tasks."""
+    only_cache("units", _encoder.cache_clear)
+    return _encoder(path)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
