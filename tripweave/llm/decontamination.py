@@ -250,13 +250,15 @@ def matches(
     docs: DataFrame, benchmark: DataFrame, words: int = WORDS, least_words: int = LEAST_WORDS,
     id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text",
     least_item: int = LEAST_ITEM, broadcast_bytes: int = BROADCAST_BYTES,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """doc_id, item_id, words_matched, item_words, consistent, contaminated of the best diagonal.
 
     One row per document and item that share a window. The benchmark's windows are broadcast up
     to ``broadcast_bytes``, measured; beyond that, windows that many documents hold are salted.
+    The result reads tables in ``scratch``, a new folder unless given.
     """
-    scratch = Scratch(docs.sparkSession, "decontamination")
+    scratch = scratch or Scratch(docs.sparkSession, "decontamination")
     items = scratch.table(_rows(benchmark, item_col, item_text, words, None, None).distinct(), "items")
     short = items.where(F.col("words") < words).select("words").distinct().orderBy("words").collect()
     lengths = [row["words"] for row in short]  # fewer than ``words``
@@ -307,7 +309,8 @@ def keep_clean(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options
 ) -> DataFrame:
     """The rows of ``docs`` that no benchmark item contaminates, all columns."""
-    scratch = Scratch(docs.sparkSession, "leaks")
-    leaks = matches(docs, benchmark, id_col=id_col, **options).where("contaminated")
+    scratch, working = (Scratch(docs.sparkSession, name) for name in ("leaks", "decontamination"))
+    leaks = matches(docs, benchmark, id_col=id_col, scratch=working, **options).where("contaminated")
     gone = scratch.table(leaks.select(F.col("doc_id").alias(id_col)).distinct(), "ids")
+    working.drop()
     return rows_without(docs, gone, id_col).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -354,9 +354,10 @@ def _round(number: int, met: DataFrame, components: DataFrame, classes: DataFram
     return links, rest
 
 
-def _judged(docs: DataFrame, words: int, percent: int, m: int, r: int, id_col: str, text: str, block: int) -> DataFrame:
+def _judged(
+    docs: DataFrame, words: int, percent: int, m: int, r: int, id_col: str, text: str, block: int, scratch: Scratch
+) -> DataFrame:
     """doc_id, row, n, and doc_id and row of the least document of the component as ``first``."""
-    scratch = Scratch(docs.sparkSession, "minhash")
     signed = scratch.table(signatures(docs, words, m, r, id_col=id_col, text=text), "signatures")
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = usable.groupBy("n", "s1", "s2").agg(
@@ -399,7 +400,8 @@ def near_duplicates(
     id_col: str = "doc_id", text: str = "text", block: int = BLOCK,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, one row per row of ``docs``."""
-    judged = _judged(docs, words, percent, m, r, id_col, text, block)
+    scratch = Scratch(docs.sparkSession, "minhash")
+    judged = _judged(docs, words, percent, m, r, id_col, text, block, scratch)
     component = F.coalesce("first.doc_id", "doc_id")
     return judged.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
@@ -416,11 +418,12 @@ def keep_one(
     Rows of the same id and text count as one document, of which one row stays; rows with a null
     id stay.
     """
-    scratch = Scratch(docs.sparkSession, "copies")
-    judged = _judged(docs, words, percent, m, r, id_col, text, block)
+    scratch, working = (Scratch(docs.sparkSession, name) for name in ("copies", "minhash"))
+    judged = _judged(docs, words, percent, m, r, id_col, text, block, working)
     least = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.row") == F.col("row"))
     gone = judged.where(F.col("first").isNotNull() & ~least).select("doc_id", "row").distinct()
     gone = scratch.table(gone, "gone")
+    working.drop()
     key = [f"_{uuid.uuid4().hex}" for _ in range(2)]
     marked = docs.withColumns({key[0]: F.col(f"`{id_col}`").cast("long"), key[1]: F.xxhash64(F.col(f"`{text}`"))})
     small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS

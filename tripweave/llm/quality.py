@@ -159,10 +159,13 @@ def posteriors(evidence: DataFrame, scratch: Scratch) -> DataFrame:
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text",
     site: str = "source", path: str = "lang", label: str = "quality",
-    threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS,
+    threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS, scratch: Scratch | None = None,
 ) -> DataFrame:
-    """doc_id, evidence (log-likelihood ratio), prior (of the path), posterior, kept."""
-    scratch = Scratch(docs.sparkSession, "quality")
+    """doc_id, evidence (log-likelihood ratio), prior (of the path), posterior, kept.
+
+    The result reads tables in ``scratch``, a new folder unless given.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "quality")
     table = scratch.table(measured(docs, id_col, text, site, path), "measures")
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id"))
     known = known.agg(F.avg(F.col(label).cast("double")).alias("y"))
@@ -191,8 +194,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **opti
 
     A document id goes if each of its rows is rejected; rows without an id stay.
     """
-    scratch = Scratch(docs.sparkSession, "rejected")
-    judged = classify(docs, labels, id_col=id_col, **options)
+    scratch, working = (Scratch(docs.sparkSession, name) for name in ("rejected", "quality"))
+    judged = classify(docs, labels, id_col=id_col, scratch=working, **options)
     gone = judged.groupBy(F.col("doc_id").alias(id_col)).agg(F.max("kept").alias("_kept"))
     gone = scratch.table(gone.where(~F.col("_kept") & F.col(id_col).isNotNull()).select(id_col), "ids")
+    working.drop()
     return rows_without(docs, gone, id_col).select(*[F.col(f"`{c}`") for c in docs.columns])
