@@ -71,7 +71,6 @@ class _Words(dict):
     def __init__(self):
         super().__init__()
         self.kinds, self.texts, self.ends = [], [], []
-        self.made = 0
         self.kept = (np.empty(0, np.uint8), np.empty(0, np.uint64), np.empty(0, bool))
 
     def __missing__(self, word: str) -> int:
@@ -91,19 +90,18 @@ class _Words(dict):
         self.kinds.append(kind)
         self.texts.append(low)
         self.ends.append(word.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":"))
-        number = self[word] = len(self.texts) - 1
+        number = self[word] = len(self)
         return number
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Kinds, hashes of the literal forms, and whether the word ends a sentence."""
-        new = slice(self.made, len(self.texts))
-        if new.start < new.stop:
+        if self.texts:
             more = (
-                np.array(self.kinds[new], np.uint8),
-                pd.util.hash_array(np.array(self.texts[new], object)), np.array(self.ends[new], bool),
+                np.array(self.kinds, np.uint8),
+                pd.util.hash_array(np.array(self.texts, object)), np.array(self.ends, bool),
             )
             self.kept = tuple(map(np.concatenate, zip(self.kept, more, strict=True)))
-            self.made = new.stop
+            self.kinds, self.texts, self.ends = [], [], []
         return self.kept
 
 
