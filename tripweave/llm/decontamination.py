@@ -48,7 +48,7 @@ WORDS, LEAST_WORDS = 8, 13
 LEAST_ITEM = 4
 #: The Bloom filter has 2^23 bits, one megabyte, whatever the benchmark.
 _BITS = 23
-_VOCABULARY = 500_000
+_VOCABULARY = 200_000
 _LITERAL, _NUMBER, _UNIT, _NAME, _BOTH = range(5)
 _EDGE = "\"'`.,;:!?()[]{}<>«»“”„‘’¡¿…*#&%$|_~"
 _NUMERIC = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|e[+-]?\d+)?%?")
