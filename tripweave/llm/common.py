@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +30,23 @@ def only_cache(name: str, clear: Callable[[], None]) -> None:
 
     Workers outlive stages: without this, each stage of a pipeline would leave its cache behind.
     """
-    for other in [x for x in _caches if x != name]:
+    others = [x for x in _caches if x != name]
+    for other in others:
         _caches.pop(other)()
+    if others:
+        release()
     _caches[name] = clear
 
 
+def release() -> None:
+    """Give memory that this process has freed back to the system, where its allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library alone
+    if trim:
+        trim(0)
+
+
 _shipped: set[str] = set()
 
 

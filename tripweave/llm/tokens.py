@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from functools import lru_cache
@@ -47,24 +46,24 @@ class Encoder(dict):
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.largest = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
-        parts = json.loads(self.tokenizer.to_str())
-        cut, model = parts["pre_tokenizer"] or {}, parts["model"]
+        cut, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
         added = self.tokenizer.get_added_tokens_decoder()
         plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        # Attributes, not the tokenizer as JSON: that holds the whole vocabulary and all merges.
         self.by_units = (
-            plain and parts["normalizer"] is None and model["type"] == "BPE"
-            and not model.get("dropout") and not model.get("continuing_subword_prefix")
-            and not model.get("end_of_word_suffix") and cut.get("type") == "ByteLevel"
-            and not cut["add_prefix_space"] and cut.get("use_regex", True)
+            plain and self.tokenizer.normalizer is None and isinstance(model, models.BPE)
+            and not model.dropout and not model.continuing_subword_prefix
+            and not model.end_of_word_suffix and isinstance(cut, pre_tokenizers.ByteLevel)
+            and not cut.add_prefix_space and cut.use_regex
         )
         self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.model, self.letters = model, _byte_letters()
         self.before: dict[str, bytes] = {}
 
     def __missing__(self, unit: str) -> bytes:
