@@ -9,7 +9,7 @@ from frames import at, rows
 from pyspark.sql import functions as F
 
 from tripweave.operators import cube, summary
-from tripweave.operators.joins import hot_keys, join_lookup
+from tripweave.operators.joins import hot_keys, join_lookup, measured_bytes
 from tripweave.operators.percentiles import exact_percentiles
 from tripweave.operators.trajectory import HotTrips, drop_outlier_trips, find_hot_trips, speed_points
 from tripweave.operators.trips import attach_trip_mode, label_points, trip_modes, trip_statistics
@@ -251,3 +251,25 @@ def test_cube_queries_read_once_and_expand_nothing(spark, sf_dir):
     made = Stages.of(prepare(spark), sf_dir).get(spark, "facet_cube")
     text = plan(cube.overview(summary.facet_filter(made, modes=["walking"])))
     assert "Expand" not in text and text.count("FileScan") == 1 and "PushedFilters: [IsNotNull(transportation_mode)" in text
+
+
+def test_sets_of_a_cube_are_no_larger_than_its_grain(spark):
+    """Many users of few trips: a set is a word, and the trips of a user lie in one or two of them."""
+    trips = spark.range(6000, numPartitions=6).selectExpr(
+        "concat('u', id % 500) AS uid", "cast(id AS string) AS tid",
+        "if(id % 2 = 0, 'walking', 'cycling') AS transportation_mode", "'X' AS country_name",
+        "4.0d AS trip_avg_speed", "5.0d AS trip_max_speed", "4.0d AS trip_median_speed",
+        "10L AS points", "10L AS speed_count", "40.0d AS speed_sum", "5.0d AS speed_max",
+    )
+    store = {}
+
+    def keep(df, name):
+        store[name] = df.checkpoint()
+        return store[name]
+
+    made = cube.facet_cube(trips, keep).where("kind <> 'sums'").select(*cube.FACETS, "kind", "bucket", "bitmap").checkpoint()
+    assert made.where("kind = 'trip'").count() <= 2 * 500
+    assert measured_bytes(made) < measured_bytes(trips) / 2
+    numbers = store["numbers_trip_number"].orderBy("trip_number").collect()
+    assert [r["_value"] for r in numbers] == sorted(r["_value"] for r in numbers) and len(numbers) == 6000
+    assert rows(cube.mode_by_country(cube.facet_cube(trips, keep))) == rows(summary.mode_by_country(trips))
