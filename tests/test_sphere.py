@@ -9,11 +9,13 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from frames import rows
 from pyspark.sql import functions as F
 
 from tripweave.functions import geo, quadtree
+from tripweave.operators import spatial_join
 from tripweave.operators.spatial_join import cover, intersecting_pairs, join_within
 from tripweave.sources import readers
 
@@ -211,3 +213,43 @@ def test_stored_points_and_rows_without_an_event_id(spark, tmp_path):
     first = readers.read_points(spark, f"{tmp_path}/points")
     assert first.select("event_id").distinct().count() == 6 and first.count() == 7
     assert rows(first) == rows(readers.read_points(spark, f"{tmp_path}/points"))
+
+
+def test_many_polygons_are_cut_together(monkeypatch):
+    """The steps of Python do not grow with the polygons, and the cells are those of each alone."""
+    r, calls = random.Random(4), []
+    plain = quadtree._vectors
+    monkeypatch.setattr(quadtree, "_vectors", lambda *a: calls.append(1) or plain(*a))
+
+    def box():
+        x, y, h = r.uniform(-170, 170), r.uniform(-80, 80), r.choice([0.01, 0.2, 3])
+        return [[[x - h, y - h], [x + h, y - h], [x + h, y + h], [x - h, y + h], [x - h, y - h]]]
+
+    rings = pa.list_(pa.list_(pa.list_(pa.float64())))
+
+    def batch(shapes):
+        return pa.record_batch([pa.array(range(len(shapes))), pa.array(shapes, rings)], ["id", "geometry"])
+
+    def made(shapes):
+        calls.clear()
+        out = {}
+        for ids, rings in spatial_join._portions(batch(shapes)):
+            polygons = quadtree.Polygons(*spatial_join._ring_points(rings), geo.SPHERE)
+            for row in spatial_join._cell_rows(ids, polygons, polygons.cells(2, 9)).to_pylist():
+                id_ = row.pop("id")
+                edges = row.pop("edges")
+                out.setdefault(id_, []).append((*row.values(), None if edges is None else [list(e.values()) for e in edges]))
+        return {k: sorted(v, key=repr) for k, v in out.items()}, len(calls)
+
+    few = [box() for _ in range(40)]
+    many = few + [box() for _ in range(960)]
+    alone = [made([shape])[0][0] for shape in few]
+    _, steps = made(few)
+    cells, more_steps = made(many)
+    assert more_steps <= 2 * steps and [cells[i] for i in range(40)] == alone and len(cells) == 1000
+    # Nulls and polygons without a point have no cell; a portion is one polygon or a bounded number of points.
+    monkeypatch.setattr(spatial_join, "POINTS_AT_ONCE", 12)
+    odd = [None, few[0], [], [[]], few[1], few[2], few[0] * 5, None, few[3]]
+    portions = [ids.to_pylist() for ids, _ in spatial_join._portions(batch(odd))]
+    assert portions == [[0, 1, 2, 3, 4], [5], [6], [7, 8]]
+    assert set(made([None, *few, []])[0]) == set(range(1, 41))
